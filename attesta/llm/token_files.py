@@ -110,7 +110,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
 
     One range shuffle puts the documents in order; texts move once, ids never.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 2048)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -142,12 +142,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
             yield image()
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("x"))
-    order = [F.col("k"), F.xxhash64("x")]
-    return materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(encode, SHARDS), path)
+    return materialise(rows.repartitionByRange("k").sortWithinPartitions(F.col("k"), F.xxhash64("x")).mapInArrow(encode, SHARDS), path)
 
 
-def read_token_files(shards: DataFrame) -> DataFrame:
-    """Per document, read back from the images: doc_id, start, n_tokens, ids_crc32, ids (u32, little-endian).
+def read_token_files(shards: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Per document, read back from the images: doc_id, start, n_tokens, ids_crc32, ids (u32, little-endian, if asked for).
 
     The first id of each part is its predecessors' sum; the driver adds up one
     number for each part (no more than the shuffle partitions of the writer).
@@ -165,22 +164,19 @@ def read_token_files(shards: DataFrame) -> DataFrame:
                 image = Image(data)
                 ids, starts = image.ids(0, image.n_ids), image.starts.astype(np.int64)
                 docs = [ids[i:j].tobytes() for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(image.doc_ids, pa.int64(), mask=image.valid == 0),
-                        pa.array(first + starts[:-1], pa.int64()),
-                        pa.array(np.diff(starts), pa.int64()),
-                        pa.array([zlib.crc32(x) for x in docs], pa.int64()),
-                        pa.array(docs, pa.binary()),
-                    ],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                columns = {
+                    "doc_id": pa.array(image.doc_ids, pa.int64(), mask=image.valid == 0),
+                    "start": pa.array(first + starts[:-1], pa.int64()),
+                    "n_tokens": pa.array(np.diff(starts), pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(x) for x in docs], pa.int64()),
+                }
+                yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(docs, pa.binary())} if with_ids else {}))
 
     rows = shards.join(F.broadcast(table), "part").select((F.col("base") + F.col("start_in_part")).alias("first"), "image")
-    return rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Write ``docs`` as token files and read them back."""
     path = path or f"{scratch_dir(docs.sparkSession)}/tokens"
-    return read_token_files(write_token_files(docs, path, tokenizer, end_id))
+    return read_token_files(write_token_files(docs, path, tokenizer, end_id), with_ids)

@@ -19,13 +19,14 @@ class UnitEncoder:
 
     Byte-level and word-end BPE never join characters over a single space or
     line feed between two others that aren't white space. So a text is cut
-    there and each distinct unit is encoded once; the ids of a unit are kept as
+    there and each distinct unit is encoded once, letters apart from the marks
+    after them; the ids of a unit are kept as
     bytes, and those of a text are joined from them. The cache is bounded: when
     the young generation holds ``limit`` units it becomes the old one, and what
     the old one held without being used again since is let go.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,12 +46,22 @@ class UnitEncoder:
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         wanted.difference_update(self.young)
-        old, young, missing = self.old, self.young, []
+        old, young = self.old, self.young
+        missing, compound = [], []
         for x in wanted:
             if (known := old.get(x)) is not None:
                 young[x] = known
+            elif len(base := x.rstrip(_MARKS)) < len(x) and base.isalpha():
+                compound.append((x, base, "\0" + x[len(base) :]))
             else:
                 missing.append(x)
+        if compound:
+            parts = {p for _, *pair in compound for p in pair}.difference(young, missing)
+            for x in parts:
+                if (known := old.get(x)) is not None:
+                    young[x] = known
+                else:
+                    missing.append(x)
         alone = [x for x in missing if x[:1] == "\0" or "|" in x]
         joined = [x for x in missing if x[:1] != "\0" and "|" not in x]
         if len(self.bar) != 1:
@@ -70,6 +81,8 @@ class UnitEncoder:
         plain = [x[1:] if x[:1] == "\0" else x if x[:1] == "\n" else " " + x for x in alone]
         for x, e in zip(alone, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
             young[x] = array(self.code, e.ids).tobytes()
+        for x, base, marks in compound:
+            young[x] = young[base] + young[marks]
 
     def encode_batch(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
         """One array of ids for each text, ``end_id`` after them if given."""
@@ -92,6 +105,9 @@ class UnitEncoder:
         return [np.frombuffer(b"".join(map(get, units)) + end, self.dtype) for units in split]
 
 
+#: Marks that are a piece apart from the letters before them in either family.
+_MARKS = ".,;:!?*&%$#|()[]{}\"-_/+="
+
 assert sys.byteorder == "little"
 
 _ENCODERS: dict[str, UnitEncoder] = {}
