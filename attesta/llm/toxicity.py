@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 from attesta.llm.common import bound_batches
 
 #: log2 of the number of hashed features; labelled rows that the model is fitted on, at most; passes over them.
-BITS, TRAIN_ROWS, EPOCHS = 20, 16_000, 4
+BITS, TRAIN_ROWS, EPOCHS = 20, 16_000, 6
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2.
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 8.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 1.0
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
