@@ -39,9 +39,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document packed into windows of 4096 ids."""
+    from attesta.llm.packing import pack
+
+    pieces, _ = pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
+    "op4_packing": op4_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
