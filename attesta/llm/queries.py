@@ -47,10 +47,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words that repeated windows of 35 words cover."""
+    from attesta.llm.substrings import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op9_substrings": op9_substrings,
 }
 ORACLE_SQL: dict[str, str] = {}
