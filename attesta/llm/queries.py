@@ -55,11 +55,20 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one, or are within one word of it."""
+    from attesta.llm.lines import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op5_lines": op5_lines,
     "op9_substrings": op9_substrings,
 }
 ORACLE_SQL: dict[str, str] = {}
