@@ -70,12 +70,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked at a cosine of 0.93 or more within their label."""
+    from attesta.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_lines": op5_lines,
+    "op6_embeddings": op6_embeddings,
     "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
 }
