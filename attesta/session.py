@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -59,3 +60,9 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished writes; Spark deletes them once nothing refers to their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
