@@ -203,7 +203,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, bin
         .select("part", "bin", "rank", (low - F.col("f_lo")).alias("low"), "doc_id", (F.col("start") + low - F.col("f_lo")).alias("start"), (high - low).alias("length"),
                 "doc_tokens", "sequence_id", (F.col("base") + low - F.col("lo")).alias("offset"))
     )
-    return pieces.unionByName(_with_crc(cut, atoms, tokenizer)), atoms
+    # Ranks go up with the part, so each class has one place from which on its atoms are residuals.
+    edges = {r["bin"]: (r["part"], int(planned[r["bin"]]) - r["base"]) for r in offsets.join(counts, ["part", "bin"]).where(f"bin <> {FULL}").join(
+        F.broadcast(spark.createDataFrame([(b, int(planned[b])) for b in range(bins)], "bin int, planned long")), "bin").where("planned >= base and planned < base + n").collect()}
+    if not edges:
+        return pieces, atoms
+    part_of, rank_of = (F.create_map(*(F.lit(x) for b, edge in sorted(edges.items()) for x in (b, edge[i]))) for i in range(2))
+    held = atoms.where(F.col("bin").isin(*edges) & ((F.col("part") > part_of[F.col("bin")]) | ((F.col("part") == part_of[F.col("bin")]) & (F.col("rank") >= rank_of[F.col("bin")]))))
+    return pieces.unionByName(_with_crc(cut, held, tokenizer)), atoms
 
 
 def _with_crc(cut: DataFrame, atoms: DataFrame, tokenizer: str) -> DataFrame:
