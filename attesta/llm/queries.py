@@ -77,6 +77,21 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from its text, declaration and source."""
+    from attesta.llm.language import identified_documents
+
+    return identified_documents(table(spark, sf_dir, "documents"))
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from its text, markup, address suffix and host."""
+    from attesta.llm.language import document_rows, fit, identify, page_rows
+
+    model = fit(document_rows(table(spark, sf_dir, "documents")))
+    return identify(page_rows(table(spark, sf_dir, "pages")), ["page_id"], table=model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_simhash": op2_simhash,
@@ -84,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_lines": op5_lines,
     "op6_embeddings": op6_embeddings,
+    "op7_language": op7_language,
+    "pages_language": pages_language,
     "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
 }
