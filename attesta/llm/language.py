@@ -174,13 +174,14 @@ def document_rows(docs: DataFrame) -> DataFrame:
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """Pages as evidence: the markup's language, and the host and top-level suffix of the address."""
+    """Pages as evidence: the markup's language, and the host and top-level suffix of the address; the path's first step goes with them."""
     host = F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/:?#]+)", 1)
     bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<!--.*?-->|<[^>]*>|&[#a-zA-Z0-9]+;", " ")
     return pages.select(
         F.col("page_id").cast("long").alias("key"), "page_id", bare.alias("text"),
         F.nullif(F.substring_index(F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]+)", 1)), "-", 1), F.lit("")).alias("declared"),
-        F.nullif(F.substring_index(host, ".", -1), F.lit("")).alias("suffix"), F.nullif(host, F.lit("")).alias("host"))
+        F.nullif(F.substring_index(host, ".", -1), F.lit("")).alias("suffix"), F.nullif(host, F.lit("")).alias("host"),
+        F.regexp_extract("url", r"^[a-zA-Z]+://[^/]+/([^/?#]*)", 1).alias("path"))
 
 
 def identified_documents(docs: DataFrame) -> DataFrame:

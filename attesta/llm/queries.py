@@ -92,6 +92,20 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(page_rows(table(spark, sf_dir, "pages")), ["page_id"], table=model)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document within its source and the language there."""
+    from attesta.llm.quality import graded_documents
+
+    return graded_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pages_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every page within its host and path."""
+    from attesta.llm.quality import graded_pages
+
+    return graded_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_simhash": op2_simhash,
@@ -101,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embeddings": op6_embeddings,
     "op7_language": op7_language,
     "pages_language": pages_language,
+    "op8_quality": op8_quality,
+    "pages_quality": pages_quality,
     "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
 }
