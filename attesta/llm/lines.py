@@ -12,9 +12,9 @@ replacement; a variant equal to a whole line differs by one word added. Equal
 keys are joined to the earliest line of the key alone, so no pairs are made
 within a group; that link is verified on the words.
 
-Two lines within one edit share their first or last words, ``4`` or ``8`` of
-them by length. Only lines that share such an end with a different line emit
-variants; the others can have no partner.
+Two lines within one edit share their first or their last half. Only lines that
+share a half with a different line emit variants; the others can have no
+partner.
 
 Defined results: blank lines aren't compared and stay, unless nothing else
 does; a null text stays null and has no lines; rows that repeat both doc_id and
@@ -26,9 +26,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attesta.session import materialise, scratch_dir
+from attesta.session import materialise, release_shuffles, remove, scratch_dir
 
-MIN_WORDS, SHORT, LONG, LONG_FROM = 10, 4, 8, 17
+MIN_WORDS = 10
 _LOW44 = (1 << 44) - 1
 
 
@@ -38,20 +38,26 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "dh", "line_no", F.lower(F.trim("line")).alias("norm")).where("norm <> ''")
 
 
-def _ends(norm: Column, n: Column) -> list[Column]:
-    """Hashes of the ends that a line shares with any other within one edit; null where not used."""
-    def end(words: int, tag: int, when: Column) -> Column:
-        return F.when(when, F.xxhash64(F.lit(tag), F.substring_index(norm, " ", words)))
+def _ends(norm: str, n: str) -> list[Column]:
+    """Hashes of the halves that a line shares with any other within one edit; null where not used.
 
-    short, long = (n >= MIN_WORDS) & (n <= LONG_FROM), n >= LONG_FROM
-    return [end(SHORT, 1, short), end(-SHORT, 2, short), end(LONG, 3, long), end(-LONG, 4, long)]
+    Of two lines with as many words one half agrees. If one has a word more,
+    so do the halves as the shorter one is cut; hence both cuts of each line.
+    """
+    out = []
+    for m in (n, f"({n} - 1)"):  # words of the shorter line
+        long_enough = F.expr(f"{m} >= {MIN_WORDS}")
+        out.append(F.when(long_enough, F.xxhash64(F.lit(1), F.expr(m), F.expr(f"substring_index({norm}, ' ', cast({m} div 2 as int))"))))
+        out.append(F.when(long_enough, F.xxhash64(F.lit(2), F.expr(m), F.expr(f"substring_index({norm}, ' ', cast({m} div 2 - {m} as int))"))))
+    return out
 
 
 def first_places(docs: DataFrame) -> DataFrame:
     """One row for each distinct line: its 128-bit key, its earliest place, and the ends for comparison."""
     lines = _lines(docs)
+    # Words stand between single spaces.
     n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    ends = _ends(F.col("norm"), F.col("n"))
+    ends = _ends("norm", "n")
     rows = lines.withColumn("n", n).select(
         F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(7), "norm").alias("k2"),
         F.struct("doc_id", "dh", "line_no", *(e.alias(f"e{i}") for i, e in enumerate(ends))).alias("at"))
@@ -100,9 +106,12 @@ def _variants(words: DataFrame) -> DataFrame:
     return summed.select("ord", F.explode(F.concat(replaced, deleted, itself)).alias("v")).select("ord", "v.*")
 
 
-def near_repeats(words: DataFrame) -> DataFrame:
-    """Lines of ``words`` (``ord``, array ``w``) that are within one edit of an earlier one: their ``ord``."""
-    keys = _variants(words)
+def near_repeats(words: DataFrame, path: str) -> DataFrame:
+    """Lines of ``words`` (``ord``, array ``w``) that are within one edit of an earlier one: their ``ord``.
+
+    The keys are written to ``path``, as they are joined in three ways.
+    """
+    keys = materialise(_variants(words), path)
     at = ["len", "hi", "lo"]
     same = keys.where("whole = 0")
     low = same.groupBy(*at, "pos").agg(F.min("ord").alias("partner"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -128,9 +137,22 @@ def within_one_edit(a: str, b: str) -> Column:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the columns doc_id, text, and ``kept_text, n_lines, n_removed`` added to them."""
+    """``(doc_id, text, kept_text, n_lines, n_removed)`` for every row of ``docs``."""
+    return _dedup(docs).drop("others")
+
+
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text that stays; documents of which no line stays are dropped."""
+    out = _dedup(docs).where("n_removed = 0 or n_removed < n_lines")
+    names = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    return out.select(*(names.get(c, F.col("others")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+
+
+def _dedup(docs: DataFrame) -> DataFrame:
+    """As :func:`dedup_lines`, with a struct ``others`` of the further columns."""
     root = scratch_dir(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias("\0"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), others.alias("others"))
     texts = rows.withColumn("dh", F.xxhash64("text"))
     firsts = materialise(first_places(texts), f"{root}/firsts")
     some = with_partners(firsts).groupBy("doc_id", "dh").agg(F.collect_set("line_no").alias("nos"))
@@ -138,15 +160,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     words = once.select("doc_id", "dh", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no")).select(
         F.struct("doc_id", "dh", F.col("no").alias("line_no")).alias("ord"), F.split(F.lower(F.trim(F.get("lines", "no"))), " ").alias("w")).dropDuplicates(["ord"])
     words = materialise(words, f"{root}/words")
-    gone = materialise(near_repeats(words), f"{root}/gone").select("ord.*")
+    release_shuffles(docs.sparkSession)
+    gone = materialise(near_repeats(words, f"{root}/keys"), f"{root}/gone").select("ord.*")
+    remove(docs.sparkSession, f"{root}/keys")
+    remove(docs.sparkSession, f"{root}/words")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.dh") == F.col(f"{b}.dh"))
     stay = firsts.alias("f").join(gone.alias("g"), same("f", "g") & (F.col("f.line_no") == F.col("g.line_no")), "left_anti")
-    kept = stay.groupBy("doc_id", "dh").agg(F.collect_list("line_no").alias("kept"))
-    joined = texts.alias("t").join(kept.alias("k"), same("t", "k"), "left").select("t.doc_id", "t.text", "k.kept")
+    kept = materialise(stay.groupBy("doc_id", "dh").agg(F.collect_list("line_no").alias("kept")), f"{root}/kept")
+    remove(docs.sparkSession, f"{root}/firsts")
+    release_shuffles(docs.sparkSession)
+    joined = texts.alias("t").join(kept.alias("k"), same("t", "k"), "left").select("t.doc_id", "t.text", "t.others", "k.kept")
     lines = F.split("text", "\n")
     blank = F.filter(F.transform("lines", lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
     out = joined.withColumn("lines", lines).withColumn("places", F.when(F.col("kept").isNull(), F.array().cast("array<int>")).otherwise(F.array_sort(F.concat("kept", blank))))
     whole = F.col("text").isNull() | (F.size("places") == F.size("lines"))
     return out.select(
-        "doc_id", "text", F.when(whole, F.col("text")).otherwise(F.array_join(F.transform("places", lambda i: F.get("lines", i)), "\n")).alias("kept_text"),
+        "doc_id", "text", "others", F.when(whole, F.col("text")).otherwise(F.array_join(F.transform("places", lambda i: F.get("lines", i)), "\n")).alias("kept_text"),
         F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.size("lines") - F.size("places")).alias("n_removed"))
