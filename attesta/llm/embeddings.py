@@ -37,7 +37,7 @@ from attesta.session import materialise, scratch_dir
 SAMPLE, PROBED = 8_192, 1_024
 #: Members of a cell aimed at; centroids of a half at most; vectors compared as one block; cells visited at most.
 OCCUPANCY, MOST_CENTROIDS, BLOCK, MOST_VISITS = 64, 256, 1024, 64
-TARGET_RECALL = 0.995
+TARGET_RECALL = 0.999
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -102,10 +102,11 @@ def fit(sample: np.ndarray, labels: np.ndarray, per_label: float, threshold: flo
         near = near[near != i]
         where = probes[i][None] == home[near][:, None]
         total += len(near)
-        found += where.any(axis=1) @ where if len(near) else 0
+        found += where.sum(axis=0)
     recall = np.cumsum(found) / max(total, 1)
     enough = np.flatnonzero(recall >= target)
-    index.visits = int(enough[0]) + 1 if total and len(enough) else (probes.shape[1] if total else min(8, probes.shape[1]))
+    reach = int(enough[0]) + 2 if total and len(enough) else probes.shape[1] if total else 8  # one cell more than it took
+    index.visits = min(reach, probes.shape[1])
     return index
 
 
