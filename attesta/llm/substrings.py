@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from attesta.llm.common import as_long, bound_batches
-from attesta.session import materialise, scratch_dir
+from attesta.session import materialise, release_shuffles, remove, scratch_dir
 
 WINDOW, GRAM = 35, 8
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -124,49 +124,67 @@ def _index(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _factor(held: DataFrame, window: int, gram: int) -> DataFrame:
-    """Factors ``(uid, first, last, lo, hi, core)``: windows first..last, the core's words lo..hi and hash."""
+    """Factors ``(uid, first, last, lo, hi, core, hashes, often)``.
+
+    Windows first..last, the core's words lo..hi and its hash, the hashes of
+    the words that the factor's windows cover, and how often each window's
+    anchor stands in the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for uid, text, shared in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for uid, text, places, times in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 h = hash_words(words_of(text))
                 at, _ = anchors(h, window, gram)
-                for first, last in runs(np.isin(at, np.array(shared))):
+                known = np.zeros(len(h), np.int32)
+                known[np.array(places, np.int64)] = times
+                often = known[at]
+                for first, last in runs(often > 0):
                     lo, hi = int(at[first]), int(at[last - 1]) + gram
-                    rows.append((uid, first, last, lo, hi, hashlib.blake2b(h[lo:hi].tobytes(), digest_size=16).digest()))
+                    core = hashlib.blake2b(h[lo:hi].tobytes(), digest_size=16).digest()
+                    rows.append((uid, first, last, lo, hi, core, h[first : last - 1 + window].tobytes(), often[first:last].tobytes()))
             if rows:
-                names, kinds = ["uid", "first", "last", "lo", "hi", "core"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                names = ["uid", "first", "last", "lo", "hi", "core", "hashes", "often"]
+                kinds = [pa.int64(), *[pa.int32()] * 4, *[pa.binary()] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return held.select("uid", "text", "shared").mapInArrow(run, "uid long, first int, last int, lo int, hi int, core binary")
+    return held.select("uid", "text", "places", "times").mapInArrow(run, "uid long, first int, last int, lo int, hi int, core binary, hashes binary, often binary")
 
 
-def _windows(held: DataFrame, window: int) -> DataFrame:
+def _windows(factors: DataFrame, window: int) -> DataFrame:
     """Windows to check, ``(uid, start, a, b, weight)``: all of a factor, or those that cross its core's bounds.
 
     Weight two says that a window is known to repeat: one document of those
-    that share a core emits it for them all.
+    that share a core emits it for them all, unless its anchor stands in these
+    cores alone, where nothing else can equal it.
     """
+    columns = ["uid", "first", "last", "lo", "hi", "copies", "chosen", "hashes", "often"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], [], []]
-            for uid, text, factors in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                h = hash_words(words_of(text))
-                a, b = rolling(h, window, _P1), rolling(h ^ _P2, window, _P2)
-                for f in factors:
-                    start = np.arange(f["first"], f["last"])
-                    inside = (start >= f["lo"]) & (start + window <= f["hi"])
-                    weight = np.where(inside & f["whole"], 2, 1)
-                    if f["whole"] and not f["chosen"]:
-                        start, weight = start[~inside], weight[~inside]
-                    for column, x in zip(out, (np.full(len(start), uid, np.int64), start.astype(np.int32), as_long(a[start]), as_long(b[start]), weight.astype(np.int32)), strict=True):
-                        column.append(x)
+            for uid, first, last, lo, hi, copies, chosen, hashes, often in zip(*(batch.column(x).to_pylist() for x in columns), strict=True):
+                h = np.frombuffer(hashes, np.uint64)
+                start = np.arange(first, last)
+                inside = (start >= lo) & (start + window <= hi)
+                whole = copies > 1
+                pick = np.ones(len(start), bool)
+                if whole:
+                    pick = ~inside
+                    if chosen:
+                        pick |= np.frombuffer(often, np.int32) != copies
+                if not pick.any():
+                    continue
+                weight = np.where(inside & whole, 2, 1)[pick]
+                start = start[pick]
+                a, b = rolling(h, window, _P1)[pick], rolling(h ^ _P2, window, _P2)[pick]
+                for column, x in zip(out, (np.full(len(start), uid, np.int64), start.astype(np.int32), as_long(a), as_long(b), weight.astype(np.int32)), strict=True):
+                    column.append(x)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["uid", "start", "a", "b", "weight"])
 
-    return held.select("uid", "text", "factors").mapInArrow(run, "uid long, start int, a long, b long, weight int")
+    return factors.select(*columns).mapInArrow(run, "uid long, start int, a long, b long, weight int")
 
 
 def _cut(held: DataFrame, window: int) -> DataFrame:
@@ -200,18 +218,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     # share it, and then all their windows repeat.
     numbered = _docs(docs).withColumn("uid", F.xxhash64("doc_id", "text"))
     index = materialise(_index(numbered, window, gram), f"{root}/index")
-    shared = index.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    blocks = index.join(shared, "anchor").groupBy("uid").agg(F.collect_list("place").alias("shared"))
-    texts = numbered.select("uid", "text")
-    factors = materialise(_factor(texts.join(blocks, "uid"), window, gram), f"{root}/factors")
+    # One row for each document and anchor, so that a text that repeats itself has no more than it has anchors.
+    own = index.groupBy("uid", "anchor").agg(F.collect_list("place").alias("places"))
+    shared = index.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.col("n").cast("int").alias("n"))
+    listed = own.join(shared, "anchor").select("uid", F.explode("places").alias("place"), "n")
+    blocks = materialise(listed.groupBy("uid").agg(F.collect_list(F.struct("place", "n")).alias("x")).select("uid", F.col("x.place").alias("places"), F.col("x.n").alias("times")), f"{root}/blocks")
+    remove(spark, f"{root}/index")
+    release_shuffles(spark)
+    factors = materialise(_factor(numbered.select("uid", "text").join(blocks, "uid"), window, gram), f"{root}/factors")
+    remove(spark, f"{root}/blocks")
+    release_shuffles(spark)
     cores = factors.groupBy("core").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first")).alias("least")).where("n > 1")
-    known = factors.join(cores, "core", "left").select(
-        "uid", "first", "last", "lo", "hi", F.col("n").isNotNull().alias("whole"), F.coalesce(F.col("least") == F.struct("uid", "first"), F.lit(False)).alias("chosen"))
-    known = materialise(known, f"{root}/known")
-    by_doc = known.groupBy("uid").agg(F.collect_list(F.struct("first", "last", "lo", "hi", "whole", "chosen")).alias("factors"))
-    checked = materialise(_windows(texts.join(by_doc, "uid"), window), f"{root}/windows")
+    known = factors.join(cores, "core", "left").withColumn("copies", F.coalesce("n", F.lit(1)).cast("int")).withColumn("chosen", F.coalesce(F.col("least") == F.struct("uid", "first"), F.lit(False)))
+    checked = materialise(_windows(known, window), f"{root}/windows")
+    release_shuffles(spark)
     repeated = checked.groupBy("a", "b").agg(F.sum("weight").alias("n")).where("n > 1").select("a", "b")
     single = checked.join(repeated, ["a", "b"], "left_semi").select("uid", F.col("start").alias("i"), (F.col("start") + window).alias("j"))
-    inside = known.where(F.col("whole") & (F.col("hi") - F.col("lo") >= window)).select("uid", F.col("lo").alias("i"), F.col("hi").alias("j"))
-    spans = single.unionByName(inside).groupBy("uid").agg(F.collect_list(F.struct("i", "j")).alias("spans"))
+    inside = factors.join(cores.select("core"), "core", "left_semi").where(F.col("hi") - F.col("lo") >= window).select("uid", F.col("lo").alias("i"), F.col("hi").alias("j"))
+    spans = materialise(single.unionByName(inside).groupBy("uid").agg(F.collect_list(F.struct("i", "j")).alias("spans")), f"{root}/spans")
+    remove(spark, f"{root}/windows")
+    remove(spark, f"{root}/factors")
+    release_shuffles(spark)
     return _cut(numbered.join(spans, "uid", "left"), window)
