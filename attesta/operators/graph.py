@@ -54,3 +54,47 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
+def critical_path(activities: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """``(graph, id, d, es, ef, ls, lf, critical)`` of activity networks.
+
+    ``activities``: graph, id, d. ``edges``: graph, pred, id. Both passes
+    settle all activities of one depth in a round, so rounds grow with the
+    longest chain only; each is written to the shared scratch folder. An
+    unknown predecessor or a cycle raises.
+    """
+    spark, root = activities.sparkSession, scratch_dir(activities.sparkSession)
+    acts = materialise(activities.select("graph", "id", F.col("d").cast("double").alias("d")), f"{root}/acts")
+    links = materialise(edges.select("graph", "pred", "id").distinct(), f"{root}/links")
+    ends = links.select("graph", F.col("pred").alias("id")).unionByName(links.select("graph", "id"))
+    if ends.join(acts, ["graph", "id"], "left_anti").limit(1).count():
+        raise ValueError("an edge names an unknown activity")
+    total = acts.count()
+
+    def settle(into: str, out_of: str, name: str) -> DataFrame:
+        """Longest sum of durations over all that must come first, layer by layer."""
+        turned = links.select("graph", F.col(into).alias("node"), F.col(out_of).alias("needs"))
+        waiting = turned.groupBy("graph", F.col("node").alias("id")).agg(F.count("*").alias("w"))
+        done = materialise(acts.join(waiting, ["graph", "id"], "left_anti").select("graph", "id", F.lit(0.0).alias("at"), (F.col("d")).alias("after"), F.lit(0).alias("round")), f"{root}/{name}0")
+        known, step = done.count(), 0
+        while known < total:
+            step += 1
+            if step > max_rounds:
+                raise RuntimeError("too many rounds")
+            ready = turned.join(done.select("graph", F.col("id").alias("needs"), "after"), ["graph", "needs"]).groupBy("graph", F.col("node").alias("id")).agg(F.count("*").alias("have"), F.max("after").alias("at"))
+            new = ready.join(waiting, ["graph", "id"]).where("have = w").join(done.select("graph", "id"), ["graph", "id"], "left_anti").join(acts, ["graph", "id"])
+            done = materialise(done.unionByName(new.select("graph", "id", "at", (F.col("at") + F.col("d")).alias("after"), F.lit(step).alias("round"))), f"{root}/{name}{step}")
+            remove(spark, f"{root}/{name}{step - 1}")
+            n = done.count()
+            if n == known:
+                raise ValueError("the network has a cycle")
+            known = n
+        return done
+
+    early = settle("id", "pred", "e").select("graph", "id", F.col("at").alias("es"), F.col("after").alias("ef"))
+    late = settle("pred", "id", "l").select("graph", "id", F.col("at").alias("tail"))
+    ends_at = early.groupBy("graph").agg(F.max("ef").alias("total"))
+    table = acts.join(early, ["graph", "id"]).join(late, ["graph", "id"]).join(ends_at, "graph")
+    lf = F.col("total") - F.col("tail")
+    return table.select("graph", "id", "d", "es", "ef", (lf - F.col("d")).alias("ls"), lf.alias("lf"), (F.abs(lf - F.col("d") - F.col("es")) < 1e-9).alias("critical"))
