@@ -43,13 +43,13 @@ def segment_precision(segments: DataFrame, sources: DataFrame, owner: list[str],
     """
     toks = segments.select(*owner, T.tokens(text, exact).alias("t"))
     short = F.size("t") < 3
-    units = toks.select(*owner, F.when(short, F.lit(1)).otherwise(3).alias("n"), F.explode(F.when(short, F.col("t")).otherwise(T.grams("t"))).alias("unit"))
+    units = toks.select(*owner, F.when(short, F.lit(1)).otherwise(3).alias("_w"), F.explode(F.when(short, F.col("t")).otherwise(T.grams("t"))).alias("unit"))
     known = (
-        sources.select(scope, F.lit(1).alias("n"), F.explode(F.array_distinct("tokens")).alias("unit"))
-        .unionByName(sources.select(scope, F.lit(3).alias("n"), F.explode(F.array_distinct(T.grams("tokens"))).alias("unit")))
+        sources.select(scope, F.lit(1).alias("_w"), F.explode(F.array_distinct("tokens")).alias("unit"))
+        .unionByName(sources.select(scope, F.lit(3).alias("_w"), F.explode(F.array_distinct(T.grams("tokens"))).alias("unit")))
         .withColumn("hit", F.lit(1))
     )
-    scored = units.groupBy(*owner, "n", "unit").agg(F.count("*").alias("times")).join(known, [scope, "n", "unit"], "left")
+    scored = units.groupBy(*owner, "_w", "unit").agg(F.count("*").alias("times")).join(known, [scope, "_w", "unit"], "left")
     scores = scored.groupBy(*owner).agg(F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("times"))), F.lit(0)).alias("hits"), F.sum("times").alias("total"))
     return segments.select(*owner).distinct().join(scores, owner, "left").select(
         *owner, F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("total", F.lit(0)).alias("total"),
