@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attesta.functions.text import grams
+from attesta.functions.text import grams, let
 
 
 def uncovered_runs(pairs: DataFrame, keys: list[str], source: str = "source", item: str = "item", least: int = 1, before: int = 3, after: int = 3) -> DataFrame:
@@ -17,7 +17,7 @@ def uncovered_runs(pairs: DataFrame, keys: list[str], source: str = "source", it
     tiny = rows.where((F.size("s") > 0) & (F.size("s") < 3) & (F.size(F.array_except("s", "i")) > 0)).select(
         *keys, F.lit(0).alias("start"), F.size("s").alias("length"), F.array_join("s", " ").alias("words"), F.array_join("s", " ").alias("context"))
     hit = rows.where(F.size("s") >= 3).select(*keys, "s", grams(F.col("s")).alias("g"), grams(F.col("i")).alias("h"))
-    known = hit.withColumn("x", F.array_intersect("g", "h")).withColumn("flags", F.transform("g", lambda g: F.array_contains("x", g)))
+    known = hit.withColumn("flags", let(F.array_intersect("g", "h"), lambda x: F.transform("g", lambda g: F.array_contains(x, g))))
     return _runs(known, keys, least, before, after).unionByName(tiny.where(F.col("length") >= least))
 
 

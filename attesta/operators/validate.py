@@ -51,7 +51,7 @@ def coverage(units: DataFrame, unit_key: str, rows: DataFrame, key: str, least:
 def mix(df: DataFrame, column: str) -> DataFrame:
     """Counts of each value and its share of all rows."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(df.agg(F.count("*").alias("total")))).select(column, "n", (F.col("n") / F.col("total")).alias("share"))  # one row
+    return counts.select(column, "n", (F.col("n") / F.lit(df.count())).alias("share"))
 
 
 def disagreements(df: DataFrame, value: str, expected: str, tolerance: float, percent: bool = True) -> DataFrame:

@@ -29,9 +29,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
     return spark
 
 
+#: Tables whose rows take long enough to be dealt out before anything is done with them.
+HEAVY = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables; the path may be in any store Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the input tables; the path may be in any store Spark reads.
+
+    A heavy table that arrives in fewer splits than there are cores (a few
+    small files) is dealt out evenly; a large one never is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in HEAVY and df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
 def scratch_dir(spark: SparkSession) -> str:
