@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from attesta.llm.common import bound_batches
 from attesta.llm.substrings import _P1, mix, rolling
+from attesta.llm.tokens import forget
 
 WINDOW, THRESHOLD, MOST_WINDOWS = 5, 0.8, 2_000_000
 #: Measures that become a placeholder after a number.
@@ -241,6 +242,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, threshold
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            forget()
             items = Items(shared.value, window)
             for batch in batches:
                 found = [(d, *x) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in items.leaks(text, threshold)]

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta.llm.common import bound_batches
+from attesta.llm.tokens import forget
 from attesta.session import materialise, scratch_dir
 
 #: Languages told apart; declared rows of each that the model is fitted on, at most.
@@ -92,6 +93,7 @@ def text_likelihood(rows: DataFrame, table: np.ndarray, keep: list[str]) -> Data
     kinds = dict(rows.select(*keep).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         ll = shared.value
         for batch in batches:
             n, sums = [], []

@@ -34,7 +34,7 @@ class UnitEncoder:
     the old one held without being used again since is let go.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
@@ -117,6 +117,8 @@ class UnitEncoder:
 
     def encode_batch(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
         """One array of ids for each text, ``end_id`` after them if given."""
+        if len(texts) > _TOGETHER:
+            return [x for i in range(0, len(texts), _TOGETHER) for x in self.encode_batch(texts[i : i + _TOGETHER], end_id)]
         split, wanted = [], set()
         # With as many words as single separators, no white space stands beside another or at an end.
         for text in texts:
@@ -141,6 +143,9 @@ class UnitEncoder:
 #: Marks that are a piece apart from the letters before them in either family.
 _MARKS = ".,;:!?*&%$#|()[]{}\"-_/+="
 
+#: Texts that are split at a time; their words take several times the memory of the texts.
+_TOGETHER = 1024
+
 assert sys.byteorder == "little"
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -154,3 +159,8 @@ def encoder(path: str) -> UnitEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _ENCODERS[path] = UnitEncoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Let go of the process's encoders: other work in a worker that is reused shall have their memory."""
+    _ENCODERS.clear()
