@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,5 +75,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished writes; Spark deletes them once nothing refers to their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # a finished query is still referred to until its last event has been dealt with
+        time.sleep(0.4)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
