@@ -1,4 +1,4 @@
-"""Readers: marked-up sources, tables, plain text, desk data, inventories."""
+"""Readers: marked-up sources, tables, plain text, JSON folders, inventories."""
 
 from __future__ import annotations
 

@@ -148,7 +148,7 @@ def test_page_furniture(spark):
     assert [(r["doc_id"], r["form"], r["c"], r["n"]) for r in repeated.page_furniture(df, P.TOP_BAND, P.BOTTOM_BAND).collect()] == [("d", "header #", 3, 3)]
 
 
-SOURCE = """#! study v1 id=setA role=paper
+SOURCE = """#! source v1 id=setA role=paper
 #~ running header
 **Section I · Problems**
 1. A plant runs a three-stage line. [4 marks]

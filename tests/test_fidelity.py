@@ -3,7 +3,7 @@ import pytest
 from attesta.plans import fidelity as V
 from attesta.sources import markup
 
-PAPER = """#! study v1 id=setA
+PAPER = """#! source v1 id=setA
 **Section I**
 1. A bakery runs a three-stage line with 450 loaves per batch.
 (a) Which stage is slow? (b) What is the capacity per hour?
