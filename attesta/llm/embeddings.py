@@ -4,8 +4,12 @@ Two codebooks, one for each half of the unit vectors, are fitted on a bounded
 sample; their product is a grid of cells. Every vector stands in the cell of
 its nearest centroids and looks into the cells that the multi-sequence order
 (ascending sum of the two halves' distances) visits first, as many as the
-target recall took on the sample. What it meets is verified by the cosine in
-double precision, so no link is below the threshold.
+target recall takes: the true neighbours of some vectors of the sample are
+found by a scan over all rows, and their cells tell how many visits reach them.
+Where that is no less work than comparing all vectors of a label, or too few
+neighbours are known to tell, all are compared: the grid is one cell then.
+What a vector meets is verified by the cosine in double precision, so no link
+is below the threshold.
 
 Vectors that are equal in label and components are one representative with a
 multiplicity. A cell's members and those who look into it are compared in
@@ -33,10 +37,10 @@ from attesta.llm.common import bound_batches
 from attesta.operators.graph import connected_components
 from attesta.session import materialise, scratch_dir
 
-#: Vectors that codebooks and number of visits are fitted on, at most; those of them whose neighbours are looked for.
-SAMPLE, PROBED = 8_192, 1_024
-#: Members of a cell aimed at; centroids of a half at most; vectors compared as one block; cells visited at most.
-OCCUPANCY, MOST_CENTROIDS, BLOCK, MOST_VISITS = 64, 256, 1024, 64
+#: Vectors that codebooks are fitted on, at most; those of them whose neighbours are looked for at first; neighbours that tell the number of visits.
+SAMPLE, PROBED, LEAST_PAIRS = 8_192, 1_024, 1_000
+#: Members of a cell aimed at; centroids of a half at most; vectors compared as one block.
+OCCUPANCY, MOST_CENTROIDS, BLOCK = 64, 256, 1024
 TARGET_RECALL = 0.999
 
 
@@ -89,25 +93,65 @@ class Index:
         return np.array([[i * len(self.second) + j for i, j in multi_sequence(a, b, n)] for a, b in zip(d1, d2, strict=True)], np.int32).reshape(len(x), n)
 
 
-def fit(sample: np.ndarray, labels: np.ndarray, per_label: float, threshold: float, target: float = TARGET_RECALL) -> Index:
-    """Codebooks for cells of about ``OCCUPANCY`` members, and the visits that reach the target on the sample."""
+def codebooks(sample: np.ndarray, per_label: float) -> Index:
+    """Codebooks for cells of about ``OCCUPANCY`` members."""
     half = sample.shape[1] // 2
     k = int(np.clip(np.sqrt(per_label / OCCUPANCY), 2, MOST_CENTROIDS))
-    index = Index(kmeans(sample[:, :half], k), kmeans(sample[:, half:], k), MOST_VISITS)
-    probes = index.cells(sample[:PROBED])
-    home = index.cells(sample)[:, 0]
-    found, total = np.zeros(probes.shape[1], np.int64), 0
-    for i in range(len(probes)):
-        near = np.flatnonzero((labels == labels[i]) & (sample @ sample[i] >= threshold))
-        near = near[near != i]
-        where = probes[i][None] == home[near][:, None]
-        total += len(near)
-        found += where.sum(axis=0)
-    recall = np.cumsum(found) / max(total, 1)
-    enough = np.flatnonzero(recall >= target)
-    reach = int(enough[0]) + 2 if total and len(enough) else probes.shape[1] if total else 8  # one cell more than it took
-    index.visits = min(reach, probes.shape[1])
-    return index
+    return Index(kmeans(sample[:, :half], k), kmeans(sample[:, half:], k), 1)
+
+
+def one_cell(dim: int) -> Index:
+    """A grid of one cell, in which every vector of a label meets every other."""
+    return Index(np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2)), 1)
+
+
+def neighbour_ranks(reps: DataFrame, dim: int, index: Index, reps_of: np.ndarray, queries: np.ndarray, labels: np.ndarray, threshold: float) -> pd.DataFrame:
+    """Over all vectors of a length, how many neighbours the queries have in the cells they visit n-th: ``rank, n, share``.
+
+    ``share`` sums each query's neighbours as parts of one, so that large groups don't outvote small ones.
+    """
+    shared = reps.sparkSession.sparkContext.broadcast((index, reps_of, queries, labels))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, own, queries, labels = shared.value
+        for batch in batches:
+            frame = batch.to_pandas()
+            if len(frame):
+                unit, lab = _unit(frame["embedding"].tolist()), frame["lab"].to_numpy()
+                near = (queries @ unit.T >= threshold) & (labels[:, None] == lab[None]) & (own[:, None] != frame["rep"].to_numpy()[None])
+                q, at = np.nonzero(near)
+                met, back = np.unique(at, return_inverse=True)
+                home = index.cells(unit[met])[:, 0] if len(met) else np.zeros(0, np.int32)
+                pairs, n = np.unique(np.stack([q, home[back]]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0].astype(np.int32)), pa.array(pairs[1].astype(np.int32)), pa.array(n.astype(np.int64))], ["q", "cell", "n"])
+
+    def ranks(frame: pd.DataFrame) -> pd.DataFrame:
+        index, _, queries, _ = shared.value
+        x, half = queries[int(frame["q"].iloc[0])][None], queries.shape[1] // 2
+        sums = (distances(x[:, :half], index.first)[0][:, None] + distances(x[:, half:], index.second)[0][None]).ravel()
+        place = np.searchsorted(np.sort(sums), sums[frame["cell"].to_numpy()], side="right")
+        return pd.DataFrame({"rank": place.astype(np.int32), "n": frame["n"], "share": frame["n"] / frame["n"].sum()})
+
+    rows = reps.where(F.size("embedding") == dim).select("rep", F.xxhash64("label").alias("lab"), "embedding")
+    cells = rows.mapInArrow(scan, "q int, cell int, n long").groupBy("q", "cell").agg(F.sum("n").alias("n"))
+    return cells.groupBy("q").applyInPandas(ranks, "rank int, n long, share double").groupBy("rank").agg(F.sum("n").alias("n"), F.sum("share").alias("share")).orderBy("rank").toPandas()
+
+
+def fit(reps: DataFrame, dim: int, per_label: float, threshold: float, target: float = TARGET_RECALL) -> Index:
+    """Codebooks for vectors of one length, and the visits that reach the target over all rows."""
+    sample = reps.where(F.size("embedding") == dim).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("rep", "embedding", F.xxhash64("label").alias("lab")).toPandas()
+    unit, own, labels = _unit(sample["embedding"].tolist()), sample["rep"].to_numpy(), sample["lab"].to_numpy()
+    index = codebooks(unit, per_label)
+    for n in sorted({min(PROBED, len(unit)), len(unit)}):
+        ranks = neighbour_ranks(reps, dim, index, own[:n], unit[:n], labels[:n], threshold)
+        if ranks["n"].sum() >= LEAST_PAIRS:
+            break
+    else:
+        return one_cell(dim)
+    reached = np.minimum(ranks["n"].cumsum() / ranks["n"].sum(), ranks["share"].cumsum() / ranks["share"].sum()).to_numpy()
+    enough = np.flatnonzero(reached >= target)
+    index.visits = int(ranks["rank"].iloc[enough[0] if len(enough) else -1]) + 1  # one cell more than it took
+    return one_cell(dim) if index.visits * OCCUPANCY >= per_label else index
 
 
 def representatives(rows: DataFrame) -> DataFrame:
@@ -150,8 +194,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93) -> DataFrame:
     sizes = reps.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).orderBy("dim").collect()
     indexes: dict[int, Index] = {}
     for r in sizes:  # one codebook for each length of vectors
-        sample = reps.where(F.size("embedding") == r["dim"]).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding", F.xxhash64("label").alias("label")).toPandas()
-        indexes[r["dim"]] = fit(_unit(sample["embedding"].tolist()), sample["label"].to_numpy(), r["n"] / max(1, r["labels"]), threshold)
+        indexes[r["dim"]] = fit(reps, r["dim"], r["n"] / max(1, r["labels"]), threshold)
     shared = spark.sparkContext.broadcast(indexes)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -240,6 +240,23 @@ def test_embeddings_against_brute_force(spark):
     assert got[3000]["component_id"] == got[5]["component_id"] and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+@pytest.mark.parametrize("least", [1, 10**9])
+def test_embeddings_when_the_sample_is_a_small_part(spark, monkeypatch, least):
+    monkeypatch.setattr(embeddings, "SAMPLE", 400)
+    monkeypatch.setattr(embeddings, "PROBED", 100)
+    monkeypatch.setattr(embeddings, "OCCUPANCY", 4)
+    monkeypatch.setattr(embeddings, "LEAST_PAIRS", least, raising=False)
+    rng, rows = np.random.default_rng(3), []
+    for i in range(2000):  # pairs of cosine 0.935
+        v, w = rng.normal(size=(2, 32))
+        v /= np.linalg.norm(v)
+        w -= w @ v * v
+        w = 0.935 * v + np.sqrt(1 - 0.935**2) * w / np.linalg.norm(w)
+        rows += [(2 * i + k, [float(c) for c in x], i % 2, "z", "z", "z") for k, x in enumerate((v, w))]
+    got = [r["n_links"] for r in embeddings.near_duplicates(vectors(spark, rows)).collect()]
+    assert len(got) == 4000 and max(got) == 1 and sum(got) >= (0.99 if least == 1 else 1) * 4000
+
+
 def test_embeddings_of_nothing(spark):
     assert embeddings.near_duplicates(vectors(spark, [])).count() == 0
 
