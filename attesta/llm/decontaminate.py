@@ -8,8 +8,13 @@ document that holds the same values is a copy; one whose values differ counts
 only if they map one to one (a re-parameterised question), so that a template
 met by chance with slots at odds with each other is not a leak.
 
-A name is a capitalised word that doesn't begin a sentence; a unit is one of
-``UNITS`` after a number. Items with fewer words than a window are one window.
+Words added or left out shift what follows: windows at several shifts, no
+further apart than the item is long, count together if the slots of all of
+them map one to one.
+
+A name is a capitalised word that doesn't begin a sentence, or a run of such
+words between white space; a unit is one of ``UNITS`` after a number. Items
+with fewer words than a window are one window.
 
 The item windows go to all tasks as a broadcast variable while they number at
 most ``MOST_WINDOWS`` (checked); a larger benchmark is dealt out in blocks of
@@ -22,6 +27,7 @@ document are all reported; empty tables give no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -94,10 +100,21 @@ class Template:
         if len(hashes):
             start[0] = True
         self.hashes = np.where(number, np.uint64(NUM), np.where(unit, np.uint64(UNIT), np.where(capital & ~start, np.uint64(NAME), hashes)))
+        self._join_names()
+
+    def _join_names(self) -> None:
+        """Make names that only white space parts one placeholder."""
+        name = self.hashes == NAME
+        if not (name[1:] & name[:-1]).any():
+            return
+        dark = np.concatenate([[0], np.cumsum(~np.isin(np.frombuffer(self.raw, np.uint8), list(b" \t\r\n")))])
+        more = np.concatenate([[False], name[1:] & name[:-1] & (dark[self.lo[1:]] == dark[self.hi[:-1]])])
+        last = np.concatenate([~more[1:], [True]])
+        self.hashes, self.lo, self.hi = self.hashes[~more], self.lo[~more], self.hi[last]
 
     def value(self, i: int) -> str:
-        """The i-th word, lower-cased."""
-        return self.raw[self.lo[i] : self.hi[i]].decode("utf-8", "replace").lower()
+        """The i-th word or run of names, lower-cased."""
+        return " ".join(self.raw[self.lo[i] : self.hi[i]].decode("utf-8", "replace").lower().split())
 
 
 def _tokens(raw: bytes, base: int) -> tuple[np.ndarray, ...]:
@@ -208,6 +225,8 @@ class Items:
                 same = {g for g, some in by_gram.items() for i, p in some if self.slots[k][i] == slot_values(t, p, p + self.window)}
                 if len(same) >= threshold * self.sizes[k]:
                     found.append((self.ids[k], len(same), self.sizes[k], False))
+                elif n := self._chained(k, shifts, grams, t, threshold * self.sizes[k]):
+                    found.append((self.ids[k], n, self.sizes[k], True))
         for width, some in self.short.items():
             small = rolling(hashes, width, _P1)
             for g in set(small.tolist()) & some.keys():
@@ -218,6 +237,23 @@ class Items:
                         found.append((self.ids[k], 1, 1, values != self.slots[k][0]))
         return found
 
+    def _chained(self, k: int, shifts: dict[int, list[tuple[int, int]]], grams: np.ndarray, t: Template, least: float) -> int:
+        """Windows of an item at shifts near each other whose slots map one to one together; 0 if fewer than ``least``."""
+        slots = {s: [(a, b) for i, p in pairs for a, b in zip(self.slots[k][i], slot_values(t, p, p + self.window), strict=True)] for s, pairs in shifts.items()}
+        here = {s: {int(grams[p]) for _, p in pairs} for s, pairs in shifts.items()}
+        order, reach = sorted(shifts), len(self.slots[k]) + self.window - 1
+        for seed in sorted(shifts, key=lambda s: -len(here[s])):
+            near = order[bisect_left(order, seed - reach) : bisect_right(order, seed + reach)]
+            if len(set().union(*(here[s] for s in near))) < least:
+                continue
+            taken, held = [], set()
+            for s in sorted(near, key=lambda s: (s != seed, -len(here[s]), abs(s - seed))):
+                if not here[s] <= held and consistent(both := taken + slots[s]):
+                    taken, held = both, held | here[s]
+            if len(held) >= least:
+                return len(held)
+        return 0
+
 
 def blocks_of_items(benchmark: DataFrame, most: int = MOST_WINDOWS) -> Iterator[list[tuple[int | None, str]]]:
     """Items in blocks of at most ``most`` words, read one after another."""

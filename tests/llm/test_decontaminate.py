@@ -31,6 +31,20 @@ def test_leaks_of_a_text(text, found):
     assert sorted(got, key=key) == sorted(found, key=key)
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("So: a train leaves Paris at 75 km per hour and then Bob boards it after 2 hours. How far does it travel before noon?", [(1, True)]),
+        ("So: a train leaves New  York at 75 km per hour and Bob Lee boards it after 2 hours. How far does it travel before noon?", [(1, True)]),
+        ("So: a train leaves Paris at 75 km per hour and then Paris boards it after 75 hours. How far does it travel before noon?", []),
+    ],
+)
+def test_words_added_to_other_values(text, found):
+    item = "A train leaves London at 60 km per hour and Alice boards it after 3.5 hours. How far does it travel before noon? The train stops for as long as it takes to load all of the bags and the mail."
+    text += " The train stops for as long as it takes to load all of the bags and the mail."
+    assert [(i, r) for i, _, _, r in d.Items([(1, item)]).leaks(text)] == found
+
+
 def test_templates():
     def kinds(text):
         return [{1: "#", 2: "N", 3: "U"}.get(int(x), "w") for x in d.Template(text).hashes]
