@@ -16,6 +16,11 @@ A name is a capitalised word that doesn't begin a sentence, or a run of such
 words between white space; a unit is one of ``UNITS`` after a number. Items
 with fewer words than a window are one window.
 
+A capitalised word that begins a sentence may be a name or not. Texts have two
+templates, therefore: one with such words as they are, and one with those that
+aren't in ``OPENERS`` as names. Either finds a leak; an item without a word
+that stays in the second has the first alone.
+
 The item windows go to all tasks as a broadcast variable while they number at
 most ``MOST_WINDOWS`` (checked); a larger benchmark is dealt out in blocks of
 items of that size, one pass over the documents each.
@@ -47,6 +52,14 @@ UNITS = frozenset(
     "cent cents dollar dollars euro euros usd eur percent % degree degrees celsius fahrenheit hz khz mhz w kw watt watts v volt volts "
     "n newton newtons j joule joules mph kmh kph".split()
 )
+#: Words that begin sentences and aren't names.
+OPENERS = frozenset(
+    "a an the this that these those there here he she it they we you i his her its their our your my each every all both some any no one two three "
+    "four five six seven eight nine ten many most several few if when while where what which who whose whom why how then now so and but or nor for "
+    "from to of in on at by with without as after before during since until because although though under over between into about than not is are "
+    "was were be been do does did has have had can could will would shall should may might must let find calculate compute determine show prove "
+    "give given write solve suppose assume consider explain estimate evaluate simplify express use using".split()
+)
 NUM, NAME, UNIT = 1, 2, 3
 #: Bytes of a text that are looked at together.
 _SLAB = 1 << 20
@@ -81,7 +94,7 @@ _UP, _DOWN = _powers(_POWER, _SLAB + 1), _powers(_INVERSE, _SLAB + 1)
 class Template:
     """Template of a text: the hash of each word or placeholder, and where in its bytes the word stands."""
 
-    def __init__(self, text: str | None):
+    def __init__(self, text: str | None, heads: bool = False):
         self.raw = (text or "").encode("utf-8", "surrogatepass")
         parts, at = [], 0
         while at < len(self.raw):
@@ -99,7 +112,23 @@ class Template:
         unit[after] = np.isin(hashes[after], UNIT_HASHES)
         if len(hashes):
             start[0] = True
-        self.hashes = np.where(number, np.uint64(NUM), np.where(unit, np.uint64(UNIT), np.where(capital & ~start, np.uint64(NAME), hashes)))
+        self._words = hashes, self.lo, self.hi, number, capital, start, unit
+        self._type(heads)
+
+    def with_heads(self) -> Template:
+        """The template with names at the head of sentences."""
+        out = Template.__new__(Template)
+        out.raw, out._words = self.raw, self._words
+        out._type(True)
+        return out
+
+    def _type(self, heads: bool) -> None:
+        hashes, self.lo, self.hi, number, capital, start, unit = self._words
+        name = capital & ~start
+        if heads:
+            first = np.flatnonzero(capital & start)
+            name[first] = ~np.isin(hashes[first], OPENER_HASHES)
+        self.hashes = np.where(number, np.uint64(NUM), np.where(unit, np.uint64(UNIT), np.where(name, np.uint64(NAME), hashes)))
         self._join_names()
 
     def _join_names(self) -> None:
@@ -146,6 +175,7 @@ def _tokens(raw: bytes, base: int) -> tuple[np.ndarray, ...]:
     return hashes, lo + base, hi + base, number, capital, stops[lo] > stops[before]
 
 
+OPENER_HASHES = np.sort(np.concatenate([_tokens(x.encode(), 0)[0] for x in sorted(OPENERS)]))
 UNIT_HASHES = np.sort(np.concatenate([_tokens(x.encode(), 0)[0][:1] for x in sorted(UNITS) if x != "%"]))
 
 
@@ -162,18 +192,33 @@ def consistent(pairs: list[tuple[tuple[int, str], tuple[int, str]]]) -> bool:
 
 
 class Items:
-    """Template windows of a block of items."""
+    """Template windows of a block of items, in both forms."""
 
     def __init__(self, rows: list[tuple[int | None, str]], window: int = WINDOW):
+        self.forms = [Form(rows, window, heads) for heads in (False, True)]
+
+    def leaks(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple[int | None, int, int, bool]]:
+        """``(item_id, windows found, windows of the item, whether slots have other values)``."""
+        t = Template(text)
+        found = self.forms[0].leaks(t, threshold)
+        return list((self.forms[1].leaks(t.with_heads(), threshold) | found).values())
+
+
+class Form:
+    """Template windows of a block of items, in one form."""
+
+    def __init__(self, rows: list[tuple[int | None, str]], window: int, heads: bool):
         self.window = window
+        self.rows: list[int] = []
         self.ids, self.sizes, self.slots = [], [], []
         where: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, text in rows:
-            t = Template(text)
+        for row, (item_id, text) in enumerate(rows):
+            t = Template(text, heads)
             hashes = t.hashes
-            if not len(hashes):
+            if not len(hashes) or heads and (hashes <= UNIT).all():
                 continue
+            self.rows.append(row)
             k, width = len(self.ids), min(window, len(hashes))
             grams = rolling(hashes, width, _P1)
             self.ids.append(item_id)
@@ -191,10 +236,9 @@ class Items:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
-    def leaks(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple[int | None, int, int, bool]]:
-        """``(item_id, windows found, windows of the item, whether slots have other values)``."""
-        t = Template(text)
-        hashes, found = t.hashes, []
+    def leaks(self, t: Template, threshold: float) -> dict[int, tuple[int | None, int, int, bool]]:
+        """By place in the block, what :meth:`Items.leaks` returns."""
+        hashes, found = t.hashes, {}
         grams = rolling(hashes, self.window, _P1)
         maybe = np.flatnonzero(self.bits[(grams >> np.uint64(42)).astype(np.int64)])
         place = np.minimum(np.searchsorted(self.keys, grams[maybe]), max(0, len(self.keys) - 1))
@@ -218,15 +262,15 @@ class Items:
                     continue
                 slots = [(a, b) for i, p in pairs for a, b in zip(self.slots[k][i], slot_values(t, p, p + self.window), strict=True)]
                 if consistent(slots):
-                    found.append((self.ids[k], len(grams_here), self.sizes[k], any(a != b for a, b in slots)))
+                    found[self.rows[k]] = (self.ids[k], len(grams_here), self.sizes[k], any(a != b for a, b in slots))
                     break
             else:
                 # Words added or left out shift the rest: slots are compared window by window, all values equal.
                 same = {g for g, some in by_gram.items() for i, p in some if self.slots[k][i] == slot_values(t, p, p + self.window)}
                 if len(same) >= threshold * self.sizes[k]:
-                    found.append((self.ids[k], len(same), self.sizes[k], False))
+                    found[self.rows[k]] = (self.ids[k], len(same), self.sizes[k], False)
                 elif n := self._chained(k, shifts, grams, t, threshold * self.sizes[k]):
-                    found.append((self.ids[k], n, self.sizes[k], True))
+                    found[self.rows[k]] = (self.ids[k], n, self.sizes[k], True)
         for width, some in self.short.items():
             small = rolling(hashes, width, _P1)
             for g in set(small.tolist()) & some.keys():
@@ -234,7 +278,7 @@ class Items:
                 for k in some[g]:
                     values = slot_values(t, p, p + width)
                     if consistent(list(zip(self.slots[k][0], values, strict=True))):
-                        found.append((self.ids[k], 1, 1, values != self.slots[k][0]))
+                        found[self.rows[k]] = (self.ids[k], 1, 1, values != self.slots[k][0])
         return found
 
     def _chained(self, k: int, shifts: dict[int, list[tuple[int, int]]], grams: np.ndarray, t: Template, least: float) -> int:

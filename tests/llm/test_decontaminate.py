@@ -45,6 +45,14 @@ def test_words_added_to_other_values(text, found):
     assert [(i, r) for i, _, _, r in d.Items([(1, item)]).leaks(text)] == found
 
 
+def test_names_that_begin_sentences():
+    item = "Alice buys 12 pens at a shop in the town. Alice gives 5 of them to a friend of the family. Alice then loses 2 more on the way home. How many pens are left in the box now?"
+    leak = item.replace("Alice", "Bob").replace("12", "40")
+    assert [(i, r) for i, _, _, r in d.Items([(1, item)]).leaks(leak)] == [(1, True)]
+    assert d.Items([(1, item)]).leaks(leak.replace("Bob then", "Carla then").replace("5 of", "40 of")) == []
+    assert d.Items([(1, "Paris")]).leaks("Then Anna left") == []
+
+
 def test_templates():
     def kinds(text):
         return [{1: "#", 2: "N", 3: "U"}.get(int(x), "w") for x in d.Template(text).hashes]
