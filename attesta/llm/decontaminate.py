@@ -274,11 +274,11 @@ class Form:
         for width, some in self.short.items():
             small = rolling(hashes, width, _P1)
             for g in set(small.tolist()) & some.keys():
-                p = int(np.flatnonzero(small == np.uint64(g))[0])
+                places = [slot_values(t, p, p + width) for p in np.flatnonzero(small == np.uint64(g)).tolist()]
                 for k in some[g]:
-                    values = slot_values(t, p, p + width)
-                    if consistent(list(zip(self.slots[k][0], values, strict=True))):
-                        found[self.rows[k]] = (self.ids[k], 1, 1, values != self.slots[k][0])
+                    fits = [v != self.slots[k][0] for v in places if consistent(list(zip(self.slots[k][0], v, strict=True)))]
+                    if fits:  # a place with the same values comes first
+                        found[self.rows[k]] = (self.ids[k], 1, 1, min(fits))
         return found
 
     def _chained(self, k: int, shifts: dict[int, list[tuple[int, int]]], grams: np.ndarray, t: Template, least: float) -> int:

@@ -53,6 +53,13 @@ def test_names_that_begin_sentences():
     assert d.Items([(1, "Paris")]).leaks("Then Anna left") == []
 
 
+def test_every_place_of_a_short_item():
+    leaks = d.Items([(1, "add 3 and 4")]).leaks
+    assert leaks("Do add 5 and 5, then add 3 and 4.") == [(1, 1, 1, False)]
+    assert leaks("Do add 5 and 6, then add 3 and 4.") == [(1, 1, 1, False)]
+    assert leaks("Do add 5 and 5, then add 5 and 6.") == [(1, 1, 1, True)]
+
+
 def test_templates():
     def kinds(text):
         return [{1: "#", 2: "N", 3: "U"}.get(int(x), "w") for x in d.Template(text).hashes]
