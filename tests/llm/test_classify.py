@@ -20,6 +20,7 @@ def test_features_hold_words_pairs_and_skips():
     assert set(toxicity.features("A, b! C").tolist()) == one
     assert len(toxicity.features(None)) == len(toxicity.features("")) == 0
     assert len(toxicity.features("a")) == 1 and len(toxicity.features("a b")) == 3
+    assert len(toxicity.features("abcde")) == 2 and len(set(toxicity.features("abcdef").tolist()) & set(toxicity.features("abcdxy").tolist())) == 1
 
 
 def test_ftrl_is_sparse_and_learns():
