@@ -1,50 +1,53 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders; what is left is lower-cased
-without punctuation. Windows of ``WINDOW`` words of an item's template are
-looked up in the documents' templates; a document that has ``THRESHOLD`` or
-more of an item's distinct windows is a candidate. Slots are then compared: a
-document that holds the same values is a copy; one whose values differ counts
-only if they map one to one (a re-parameterised question), so that a template
-met by chance with slots at odds with each other is not a leak.
-
-Words added or left out shift what follows: windows at several shifts, no
-further apart than the item is long, count together if the slots of all of
-them map one to one.
-
-A name is a capitalised word that doesn't begin a sentence, or a run of such
-words between white space; a unit is one of ``UNITS`` after a number. Items
-with fewer words than a window are one window.
-
-A capitalised word that begins a sentence may be a name or not. Texts have two
-templates, therefore: one with such words as they are, and one with those that
-aren't in ``OPENERS`` as names. Either finds a leak; an item without a word
-that stays in the second has the first alone.
-
-The item windows go to all tasks as a broadcast variable while they number at
-most ``MOST_WINDOWS`` (checked); a larger benchmark is dealt out in blocks of
-items of that size, one pass over the documents each.
-
-Defined results: null or empty items and documents match nothing; rows that
-repeat are judged each; a null doc_id or item_id is kept; several items in one
-document are all reported; empty tables give no rows.
+without punctuation. A text has two templates: one in which numbers and units
+are placeholders, and one in which names are too. A name is a capitalised word
+that isn't one of ``OPENERS``, or a run of such words between white space; a
+unit is one of ``UNITS`` after a number.
+
+Windows of ``WINDOW`` template words, those with ``LITERALS`` or more words that
+are no placeholders, are hash-joined between items and documents. Documents
+emit only windows that pass a bit table of the items'; the table has a fixed
+greatest size, and nothing else is broadcast by this module. A document whose
+matching windows could cover enough of an item is a candidate.
+
+Candidates are verified on whole texts. An item leaks if matching windows cover
+``THRESHOLD`` or more of its words: windows with equal slot values, wherever
+they stand; or, within a stretch of a document at most twice as long as the
+item (so words may be added or left out), windows whose slot values map one to
+one. The mapping is the one that most slots agree on; windows at odds with it
+don't count. Both are linear in the text.
+
+Items whose template has fewer than three different words, or windows fewer
+than half of which have ``LITERALS`` words, are looked for with equal values only,
+by windows of the words as they are. Items of three or four words are one such
+window; items of one or two leak only in a document that is nothing else.
+
+Defined results: null or empty items and documents match nothing; benchmark
+rows that repeat id and text count once, as do documents that repeat both; a
+null doc_id or item_id is kept; several items in one document are all reported;
+further columns of the inputs are not looked at; very long texts are looked at
+whole; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attesta.llm.common import bound_batches
+from attesta.llm.common import as_long, bound_batches
 from attesta.llm.substrings import _P1, mix, rolling
 from attesta.llm.tokens import forget
+from attesta.session import materialise, scratch_dir
 
-WINDOW, THRESHOLD, MOST_WINDOWS = 5, 0.8, 2_000_000
+WINDOW, THRESHOLD, LITERALS = 5, 0.8, 2
+#: Bits of the table that documents' windows are looked up in, as powers of two; items of a document verified at once.
+LEAST_BITS, MOST_BITS, CHUNK = 18, 27, 64
 #: Measures that become a placeholder after a number.
 UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons lb lbs pound pounds ounce ounces "
@@ -52,7 +55,7 @@ UNITS = frozenset(
     "cent cents dollar dollars euro euros usd eur percent % degree degrees celsius fahrenheit hz khz mhz w kw watt watts v volt volts "
     "n newton newtons j joule joules mph kmh kph".split()
 )
-#: Words that begin sentences and aren't names.
+#: Words that are often capitalised, at the head of sentences, and aren't names.
 OPENERS = frozenset(
     "a an the this that these those there here he she it they we you i his her its their our your my each every all both some any no one two three "
     "four five six seven eight nine ten many most several few if when while where what which who whose whom why how then now so and but or nor for "
@@ -61,6 +64,8 @@ OPENERS = frozenset(
     "give given write solve suppose assume consider explain estimate evaluate simplify express use using".split()
 )
 NUM, NAME, UNIT = 1, 2, 3
+#: Kinds of windows: words as they are, the two templates, and whole short documents.
+EXACT, PLAIN, NAMED, WHOLE = 0, 1, 2, 3
 #: Bytes of a text that are looked at together.
 _SLAB = 1 << 20
 
@@ -70,14 +75,13 @@ def _classes() -> tuple[np.ndarray, ...]:
     digit = (code >= 48) & (code <= 57)
     upper = (code >= 65) & (code <= 90)
     word = digit | upper | ((code >= 97) & (code <= 122)) | (code >= 128)
-    ends = np.isin(code, list(b".!?:\n"))
     joins = np.isin(code, list(b".,:/"))
     value = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, dtype=np.uint64)
     value[65:91] = value[97:123]  # A-Z count as a-z
-    return digit, upper, word, ends, joins, value
+    return digit, upper, word, joins, value
 
 
-_DIGIT, _UPPER, _WORD, _ENDS, _JOINS, _VALUE = _classes()
+_DIGIT, _UPPER, _WORD, _JOINS, _VALUE = _classes()
 _POWER, _INVERSE = _P1, np.uint64(pow(int(_P1), -1, 1 << 64))
 
 
@@ -91,63 +95,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_POWER, _SLAB + 1), _powers(_INVERSE, _SLAB + 1)
 
 
-class Template:
-    """Template of a text: the hash of each word or placeholder, and where in its bytes the word stands."""
-
-    def __init__(self, text: str | None, heads: bool = False):
-        self.raw = (text or "").encode("utf-8", "surrogatepass")
-        parts, at = [], 0
-        while at < len(self.raw):
-            end = min(len(self.raw), at + _SLAB)
-            if end < len(self.raw):  # a slab ends at white space, unless a word is longer than half of one
-                cut = max(self.raw.rfind(b" ", at + _SLAB // 2, end), self.raw.rfind(b"\n", at + _SLAB // 2, end))
-                end = cut + 1 if cut >= 0 else end
-            parts.append(_tokens(self.raw[at:end], at))
-            at = end
-        if not parts:
-            parts = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, *(np.zeros(0, bool),) * 3)]
-        hashes, self.lo, self.hi, number, capital, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-        after = np.concatenate([[False], number[:-1]]) & ~number
-        unit = np.zeros(len(hashes), bool)
-        unit[after] = np.isin(hashes[after], UNIT_HASHES)
-        if len(hashes):
-            start[0] = True
-        self._words = hashes, self.lo, self.hi, number, capital, start, unit
-        self._type(heads)
-
-    def with_heads(self) -> Template:
-        """The template with names at the head of sentences."""
-        out = Template.__new__(Template)
-        out.raw, out._words = self.raw, self._words
-        out._type(True)
-        return out
-
-    def _type(self, heads: bool) -> None:
-        hashes, self.lo, self.hi, number, capital, start, unit = self._words
-        name = capital & ~start
-        if heads:
-            first = np.flatnonzero(capital & start)
-            name[first] = ~np.isin(hashes[first], OPENER_HASHES)
-        self.hashes = np.where(number, np.uint64(NUM), np.where(unit, np.uint64(UNIT), np.where(name, np.uint64(NAME), hashes)))
-        self._join_names()
-
-    def _join_names(self) -> None:
-        """Make names that only white space parts one placeholder."""
-        name = self.hashes == NAME
-        if not (name[1:] & name[:-1]).any():
-            return
-        dark = np.concatenate([[0], np.cumsum(~np.isin(np.frombuffer(self.raw, np.uint8), list(b" \t\r\n")))])
-        more = np.concatenate([[False], name[1:] & name[:-1] & (dark[self.lo[1:]] == dark[self.hi[:-1]])])
-        last = np.concatenate([~more[1:], [True]])
-        self.hashes, self.lo, self.hi = self.hashes[~more], self.lo[~more], self.hi[last]
-
-    def value(self, i: int) -> str:
-        """The i-th word or run of names, lower-cased."""
-        return " ".join(self.raw[self.lo[i] : self.hi[i]].decode("utf-8", "replace").lower().split())
-
-
 def _tokens(raw: bytes, base: int) -> tuple[np.ndarray, ...]:
-    """Hash, bounds, and whether it is a number, is capitalised, or begins a sentence, of each word of a slab."""
+    """Hash, bounds, and whether it is a number or capitalised, of each word of a slab."""
     b = np.frombuffer(raw, np.uint8)
     digit, word = _DIGIT[b], _WORD[b]
     if digit.any():
@@ -170,172 +119,329 @@ def _tokens(raw: bytes, base: int) -> tuple[np.ndarray, ...]:
     if len(accent):
         capital = capital.copy()
         capital |= np.isin(lo + 1, accent)
-    stops = np.concatenate([[0], np.cumsum(_ENDS[b])])
-    before = np.concatenate([[0], hi[:-1]]) if len(lo) else lo
-    return hashes, lo + base, hi + base, number, capital, stops[lo] > stops[before]
+    return hashes, lo + base, hi + base, number, capital
 
 
 OPENER_HASHES = np.sort(np.concatenate([_tokens(x.encode(), 0)[0] for x in sorted(OPENERS)]))
 UNIT_HASHES = np.sort(np.concatenate([_tokens(x.encode(), 0)[0][:1] for x in sorted(UNITS) if x != "%"]))
 
 
-def slot_values(t: Template, lo: int, hi: int) -> list[tuple[int, str]]:
-    """Type and value of each placeholder of a stretch of a template."""
-    return [(int(t.hashes[i]), t.value(i)) for i in range(lo, hi) if t.hashes[i] <= UNIT]
-
-
-def consistent(pairs: list[tuple[tuple[int, str], tuple[int, str]]]) -> bool:
-    """Whether slots of equal types map one to one: a value always to the same value, and no two to one."""
-    there: dict = {}
-    back: dict = {}
-    return all(a[0] == b[0] and there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in pairs)
+class Template:
+    """A text's words and its two templates: the hash of each word or placeholder, and the hash of its value."""
 
+    def __init__(self, text: str | None):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        parts, at = [], 0
+        while at < len(raw):
+            end = min(len(raw), at + _SLAB)
+            if end < len(raw):  # a slab ends at white space, unless a word is longer than half of one
+                cut = max(raw.rfind(b" ", at + _SLAB // 2, end), raw.rfind(b"\n", at + _SLAB // 2, end))
+                end = cut + 1 if cut >= 0 else end
+            parts.append(_tokens(raw[at:end], at))
+            at = end
+        if not parts:
+            parts = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, *(np.zeros(0, bool),) * 2)]
+        self.words, lo, hi, number, capital = (np.concatenate(x) for x in zip(*parts, strict=True))
+        after = np.concatenate([[False], number[:-1]]) & ~number
+        unit = np.zeros(len(self.words), bool)
+        unit[after] = np.isin(self.words[after], UNIT_HASHES)
+        self._plain = np.where(number, np.uint64(NUM), np.where(unit, np.uint64(UNIT), self.words))
+        self._name = np.zeros(len(self.words), bool)
+        some = np.flatnonzero(capital & (self._plain > UNIT))
+        self._name[some] = ~np.isin(self.words[some], OPENER_HASHES)
+        self._raw, self._lo, self._hi = raw, lo, hi
+
+    def form(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(template, values)`` of a kind; in exact words there are no placeholders."""
+        if kind == EXACT:
+            return self.words, self.words
+        if kind == PLAIN or not self._name.any():
+            return self._plain, self.words
+        name = self._name
+        template, values = np.where(name, np.uint64(NAME), self._plain), self.words
+        if (name[1:] & name[:-1]).any():  # names that only white space parts are one placeholder
+            dark = np.concatenate([[0], np.cumsum(~np.isin(np.frombuffer(self._raw, np.uint8), list(b" \t\r\n")))])
+            more = np.concatenate([[False], name[1:] & name[:-1] & (dark[self._lo[1:]] == dark[self._hi[:-1]])])
+            at = np.flatnonzero(~more)
+            place = np.arange(len(values)) - np.maximum.accumulate(np.where(more, 0, np.arange(len(values))))
+            with np.errstate(over="ignore"):
+                tagged = mix(values + place.astype(np.uint64) * _P1)
+                values = np.add.reduceat(tagged, at)
+            template = template[at]
+        return template, values
+
+    def named(self) -> bool:
+        """Whether any word is a name."""
+        return bool(self._name.any())
+
+
+def windows(template: np.ndarray, kind: int, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """``(hash, usable)`` of every window; those of templates need literal words."""
+    grams = rolling(template, width, _P1)
+    with np.errstate(over="ignore"):
+        grams = mix(grams + np.uint64(kind * 8 + width) * _P1)
+    if kind in (EXACT, WHOLE):
+        return grams, np.ones(len(grams), bool)
+    literal = np.concatenate([[0], np.cumsum(template > UNIT)])
+    return grams, literal[width:] - literal[: max(0, len(literal) - width)] >= LITERALS
 
-class Items:
-    """Template windows of a block of items, in both forms."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], window: int = WINDOW):
-        self.forms = [Form(rows, window, heads) for heads in (False, True)]
+class Item:
+    """A benchmark item: by kind, its template, values and windows."""
 
-    def leaks(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple[int | None, int, int, bool]]:
-        """``(item_id, windows found, windows of the item, whether slots have other values)``."""
+    def __init__(self, text: str | None, threshold: float = THRESHOLD):
+        self.forms: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         t = Template(text)
-        found = self.forms[0].leaks(t, threshold)
-        return list((self.forms[1].leaks(t.with_heads(), threshold) | found).values())
-
-
-class Form:
-    """Template windows of a block of items, in one form."""
-
-    def __init__(self, rows: list[tuple[int | None, str]], window: int, heads: bool):
-        self.window = window
-        self.rows: list[int] = []
-        self.ids, self.sizes, self.slots = [], [], []
-        where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for row, (item_id, text) in enumerate(rows):
-            t = Template(text, heads)
-            hashes = t.hashes
-            if not len(hashes) or heads and (hashes <= UNIT).all():
-                continue
-            self.rows.append(row)
-            k, width = len(self.ids), min(window, len(hashes))
-            grams = rolling(hashes, width, _P1)
-            self.ids.append(item_id)
-            self.sizes.append(len(set(grams.tolist())))
-            self.slots.append([slot_values(t, i, i + width) for i in range(len(grams))])
-            for i, g in enumerate(grams.tolist()):
-                if width == window:
-                    where[g].append((k, i))
-                else:
-                    self.short[width][g].append(k)
-        self.where = dict(where)
-        self.short = {k: dict(v) for k, v in self.short.items()}
-        self.keys = np.array(sorted(self.where), np.uint64)
-        # A first look at few bits tells most windows apart from all of the items'.
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.keys >> np.uint64(42)).astype(np.int64)] = True
-
-    def leaks(self, t: Template, threshold: float) -> dict[int, tuple[int | None, int, int, bool]]:
-        """By place in the block, what :meth:`Items.leaks` returns."""
-        hashes, found = t.hashes, {}
-        grams = rolling(hashes, self.window, _P1)
-        maybe = np.flatnonzero(self.bits[(grams >> np.uint64(42)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(self.keys, grams[maybe]), max(0, len(self.keys) - 1))
-        hits = maybe[self.keys[place] == grams[maybe]] if len(self.keys) else maybe[:0]
-        met: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for p in hits.tolist():
-            g = int(grams[p])
-            for k, i in self.where[g]:
-                met[k][g].append((i, p))
-        for k, by_gram in met.items():
-            if len(by_gram) < threshold * self.sizes[k]:
-                continue
-            # Places where document and item run in step: the shift that most windows agree on comes first.
-            shifts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for some in by_gram.values():
-                for i, p in some:
-                    shifts[p - i].append((i, p))
-            for pairs in sorted(shifts.values(), key=len, reverse=True):
-                grams_here = {int(grams[p]) for _, p in pairs}
-                if len(grams_here) < threshold * self.sizes[k]:
+        n = len(t.words)
+        self.width = min(WINDOW, n)
+        self.threshold = threshold
+        if n >= WINDOW:
+            for kind in (PLAIN, NAMED):
+                if kind == NAMED and not t.named():
                     continue
-                slots = [(a, b) for i, p in pairs for a, b in zip(self.slots[k][i], slot_values(t, p, p + self.window), strict=True)]
-                if consistent(slots):
-                    found[self.rows[k]] = (self.ids[k], len(grams_here), self.sizes[k], any(a != b for a, b in slots))
-                    break
-            else:
-                # Words added or left out shift the rest: slots are compared window by window, all values equal.
-                same = {g for g, some in by_gram.items() for i, p in some if self.slots[k][i] == slot_values(t, p, p + self.window)}
-                if len(same) >= threshold * self.sizes[k]:
-                    found[self.rows[k]] = (self.ids[k], len(same), self.sizes[k], False)
-                elif n := self._chained(k, shifts, grams, t, threshold * self.sizes[k]):
-                    found[self.rows[k]] = (self.ids[k], n, self.sizes[k], True)
-        for width, some in self.short.items():
-            small = rolling(hashes, width, _P1)
-            for g in set(small.tolist()) & some.keys():
-                places = [slot_values(t, p, p + width) for p in np.flatnonzero(small == np.uint64(g)).tolist()]
-                for k in some[g]:
-                    fits = [v != self.slots[k][0] for v in places if consistent(list(zip(self.slots[k][0], v, strict=True)))]
-                    if fits:  # a place with the same values comes first
-                        found[self.rows[k]] = (self.ids[k], 1, 1, min(fits))
-        return found
-
-    def _chained(self, k: int, shifts: dict[int, list[tuple[int, int]]], grams: np.ndarray, t: Template, least: float) -> int:
-        """Windows of an item at shifts near each other whose slots map one to one together; 0 if fewer than ``least``."""
-        slots = {s: [(a, b) for i, p in pairs for a, b in zip(self.slots[k][i], slot_values(t, p, p + self.window), strict=True)] for s, pairs in shifts.items()}
-        here = {s: {int(grams[p]) for _, p in pairs} for s, pairs in shifts.items()}
-        order, reach = sorted(shifts), len(self.slots[k]) + self.window - 1
-        for seed in sorted(shifts, key=lambda s: -len(here[s])):
-            near = order[bisect_left(order, seed - reach) : bisect_right(order, seed + reach)]
-            if len(set().union(*(here[s] for s in near))) < least:
+                template, values = t.form(kind)
+                grams, usable = windows(template, kind)
+                if len(np.unique(template[template > UNIT])) > LITERALS and usable.sum() * 2 >= len(usable) > 0:
+                    self.forms[kind] = template, values, grams, usable
+        if n and PLAIN not in self.forms:
+            kind = EXACT if n > 2 else WHOLE
+            self.forms[kind] = t.words, t.words, *windows(t.words, kind, self.width)
+        self.grams = {k: np.unique(g[u]) for k, (_, _, g, u) in self.forms.items()}
+        self.size = {k: self.covered(u) for k, (_, _, _, u) in self.forms.items()}
+
+    def covered(self, flags: np.ndarray) -> int:
+        """Words that the flagged windows cover."""
+        change = np.zeros(len(flags) + self.width, np.int64)
+        change[: len(flags)] += flags
+        change[self.width :] -= flags
+        return int((np.cumsum(change) > 0).sum())
+
+    def least(self, kind: int) -> int:
+        """Covered words that make a leak."""
+        return int(np.ceil(self.threshold * self.size[kind] - 1e-9))
+
+    def leak(self, doc: Document) -> tuple[int, int, bool] | None:
+        """``(words covered, words of the item, whether slots have other values)``; null if it doesn't leak."""
+        found = [x for kind in self.forms if (x := self._leak(doc, kind))]
+        return min(found, key=lambda x: (x[2], -x[0] / x[1])) if found else None
+
+    def _leak(self, doc: Document, kind: int) -> tuple[int, int, bool] | None:
+        _, values, grams, usable = self.forms[kind]
+        own, least, size = self.grams[kind], self.least(kind), self.size[kind]
+        order, theirs, valued = doc.sorted(kind, self.width)
+        lo, hi = np.searchsorted(theirs, own, "left"), np.searchsorted(theirs, own, "right")
+        at = np.flatnonzero(usable)
+        gid = np.searchsorted(own, grams[at])
+        flags = np.zeros(len(usable), bool)
+        flags[at] = (hi > lo)[gid]
+        if (n := self.covered(flags)) < least:
+            return None
+        if kind in (EXACT, WHOLE):
+            return n, size, False
+        same = with_values(grams, values, self.width)[at]
+        flags[at] = valued[np.minimum(np.searchsorted(valued, same), len(valued) - 1)] == same  # some window was found
+        n, whole = self.covered(flags), n
+        equal = (n, size, False) if n >= least else None
+        if n == whole:
+            return equal
+        # Stretches of the document, three items long and one apart, that have enough of the windows.
+        long = len(values)
+        spots = [order[a:b] for a, b in zip(lo, hi, strict=True)]
+        p, g = np.concatenate(spots), np.repeat(np.arange(len(own)), hi - lo)
+        places, inverse = np.unique(np.concatenate([p // long, p // long - 1, p // long - 2]), return_inverse=True)
+        pairs = np.unique(inverse.astype(np.int64) * len(own) + np.tile(g, 3))
+        times = np.bincount(gid, minlength=len(own))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(pairs // len(own), minlength=len(places)))])
+        for k, place in enumerate(places.tolist()):
+            here = pairs[ends[k] : ends[k + 1]] % len(own)
+            if times[here].sum() * self.width < least:
                 continue
-            taken, held = [], set()
-            for s in sorted(near, key=lambda s: (s != seed, -len(here[s]), abs(s - seed))):
-                if not here[s] <= held and consistent(both := taken + slots[s]):
-                    taken, held = both, held | here[s]
-            if len(held) >= least:
-                return len(held)
-        return 0
-
-
-def blocks_of_items(benchmark: DataFrame, most: int = MOST_WINDOWS) -> Iterator[list[tuple[int | None, str]]]:
-    """Items in blocks of at most ``most`` words, read one after another."""
-    held, size = [], 0
-    for row in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
-        n = len(row["text"].split())
-        if held and size + n > most:
-            yield held
-            held, size = [], 0
-        held.append((row["item_id"], row["text"]))
-        size += n
-    if held:
-        yield held
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, item_id, n_found, n_windows, reparameterised)`` for every document and item that it leaks."""
-    bound_batches(docs.sparkSession)
-    rows, out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), None
-    schema = "doc_id long, item_id long, n_found int, n_windows int, reparameterised boolean"
-    for block in blocks_of_items(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            forget()
-            items = Items(shared.value, window)
-            for batch in batches:
-                found = [(d, *x) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in items.leaks(text, threshold)]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-                columns = list(zip(*found, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_found", "n_windows", "reparameterised"])
-
-        some = rows.mapInArrow(run, schema)
-        out = some if out is None else out.unionByName(some)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+            start = place * long
+            n = self.covered(self._mapped(kind, at, gid, spots, start, start + 3 * long, doc.form(kind)[1]))
+            if n >= least and (equal is None or n > equal[0]):
+                return n, size, True
+        return equal
+
+    def _mapped(self, kind: int, at: np.ndarray, gid: np.ndarray, spots: list[np.ndarray], start: int, end: int, theirs: np.ndarray) -> np.ndarray:
+        """Windows found in a stretch whose slots agree with the mapping that most slots agree on, as flags."""
+        template, values, _, usable = self.forms[kind]
+        here = [s[np.searchsorted(s, start) : np.searchsorted(s, end)] for s in spots]
+        votes = Counter(int(here[g][0]) - i for i, g in zip(at.tolist(), gid.tolist(), strict=True) if len(here[g]) == 1)
+        votes = votes or Counter(p - i for i, g in zip(at.tolist(), gid.tolist(), strict=True) for p in here[g][:1].tolist())
+        shift = max(votes, key=lambda s: (votes[s], -s))
+        steps = []
+        for i, g in zip(at.tolist(), gid.tolist(), strict=True):
+            if len(here[g]):
+                k = int(np.searchsorted(here[g], i + shift))
+                p = min(here[g][max(0, k - 1) : k + 1].tolist(), key=lambda x: abs(x - i - shift))
+                shift = p - i
+                steps.append((i, p))
+        slots = {i: [i + o for o in range(WINDOW) if template[i + o] <= UNIT] for i, _ in steps}
+        met = {(j, p + j - i) for i, p in steps for j in slots[i]}
+        counts = Counter((int(template[j]), int(values[j]), int(theirs[q])) for j, q in met)
+        there: dict = {}
+        back: set = set()
+        for (kind_, a, b), _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):  # the commonest first
+            if (kind_, a) not in there and (kind_, b) not in back:
+                there[kind_, a] = b
+                back.add((kind_, b))
+        flags = np.zeros(len(usable), bool)
+        for i, p in steps:
+            flags[i] = all(there.get((int(template[j]), int(values[j]))) == int(theirs[p + j - i]) for j in slots[i])
+        return flags
+
+
+def with_values(grams: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of windows together with the values of their slots."""
+    with np.errstate(over="ignore"):
+        return mix(grams + rolling(values, width, _P1) * _P1)
+
+
+class Document:
+    """A text that items are looked for in; what several items need is made once."""
+
+    def __init__(self, text: str | None):
+        self.template = Template(text)
+        self._forms: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._sorted: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def form(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        if kind not in self._forms:
+            self._forms[kind] = self.template.form(kind if kind != WHOLE else EXACT)
+        return self._forms[kind]
+
+    def sorted(self, kind: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of windows by their hash (places ascending within one), the hashes, and the hashes with values."""
+        if (kind, width) not in self._sorted:
+            template, values = self.form(kind)
+            if kind == WHOLE and len(template) != width:
+                template = values = template[:0]
+            grams = windows(template, kind, width)[0]
+            order = np.argsort(grams, kind="stable")
+            self._sorted[kind, width] = order, grams[order], np.sort(with_values(grams, values, width))
+        return self._sorted[kind, width]
+
+
+def leaks_of(text: str | None, items: list[tuple[int | None, Item]]) -> list[tuple[int | None, int, int, bool]]:
+    """``(item_id, words covered, words of the item, whether slots have other values)`` of a text, each item tried."""
+    doc = Document(text)
+    return [(i, *found) for i, item in items if (found := item.leak(doc))]
+
+
+def item_windows(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(ik, kind, width, least, gram, times)``: distinct windows of each item and how often they stand in it; ``items`` has ik and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        names = ["ik", "kind", "width", "least", "gram", "times"]
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            for ik, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                item = Item(text, threshold)
+                for kind, (_, _, grams, usable) in item.forms.items():
+                    own, times = np.unique(grams[usable], return_counts=True)
+                    for column, x in zip(out, (ik, kind, item.width, item.least(kind)), strict=False):
+                        column.append(np.full(len(own), x, np.int64))
+                    out[4].append(as_long(own))
+                    out[5].append(times)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(k) for c, k in zip(out, kinds, strict=True)], names)
+
+    return items.select("ik", "text").mapInArrow(run, "ik long, kind int, width int, least int, gram long, times int")
+
+
+def bit_table(grams: DataFrame, n: int) -> np.ndarray:
+    """Bits of windows by their first and by their last bits; at most ``2**MOST_BITS`` whatever ``n`` is."""
+    size = int(np.clip(int(n * 32).bit_length(), LEAST_BITS, MOST_BITS))
+    high, low = F.shiftrightunsigned("gram", 64 - size), F.col("gram").bitwiseAND(F.lit((1 << size) - 1))
+    at = grams.select(F.explode(F.array(high, low)).alias("at"))
+    one = F.expr("shiftleft(cast(1 as bigint), cast(at & 63 as int))")
+    rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
+    table = np.zeros(1 << (size - 6), np.int64)
+    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return table.view(np.uint64)
+
+
+def maybe(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Whether windows may be in the table."""
+    size = np.uint64(int(len(table)).bit_length() - 1 + 6)
+    out = np.ones(len(grams), bool)
+    for at in (grams >> (np.uint64(64) - size), grams & ((np.uint64(1) << size) - np.uint64(1))):
+        out &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def hits(docs: DataFrame, table: np.ndarray, shapes: list[tuple[int, int]]) -> DataFrame:
+    """``(dk, th, gram)``: distinct windows of documents that may be items'; ``docs`` has dk, th, text."""
+    shared = docs.sparkSession.sparkContext.broadcast((table, shapes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        table, shapes = shared.value
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], []]
+            for dk, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                doc = Document(text)
+                for kind, width in shapes:
+                    template = doc.form(kind)[0]
+                    if kind == WHOLE and len(template) != width:
+                        continue
+                    grams, usable = windows(template, kind, width)
+                    some = np.unique(grams[maybe(table, grams) & usable])
+                    for column, x in zip(out, (np.full(len(some), dk), np.full(len(some), th), as_long(some)), strict=True):
+                        column.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["dk", "th", "gram"])
+
+    return docs.select("dk", "th", "text").mapInArrow(run, "dk long, th long, gram long")
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    """Documents with two hashes of id and text by which they are told apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), F.xxhash64(F.lit(10), "text").alias("th"), "text")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """``(doc_id, dk, th, item_id, n_covered, n_words, reparameterised)``."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    root = scratch_dir(spark)
+    rows = _known(docs)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    items = items.withColumn("ik", F.xxhash64("item_id", "text"))
+    known = materialise(item_windows(items, threshold), f"{root}/windows")
+    shapes = sorted((r["kind"], r["width"]) for r in known.select("kind", "width").distinct().collect())
+    table = bit_table(known.select("gram"), known.count())
+    met = hits(rows, table, shapes).join(known, "gram")
+    enough = (F.sum("times") * F.first("width") >= F.first("least")).alias("enough")  # as many words as these windows could cover
+    pairs = met.groupBy("dk", "th", "ik", "kind").agg(enough).where("enough").select("dk", "th", "ik").distinct()
+    pairs = materialise(pairs, f"{root}/pairs")
+    # A document's items are verified together, at most about CHUNK of them in a task's row.
+    parts = pairs.groupBy("dk", "th").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    grouped = pairs.join(parts, ["dk", "th"]).withColumn("part", F.pmod(F.xxhash64("ik"), F.col("parts"))).join(items, "ik")
+    grouped = grouped.groupBy("dk", "th", "part").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    held = rows.join(grouped, ["dk", "th"]).dropDuplicates(["dk", "th", "part"])
+    names = ["doc_id", "dk", "th", "item_id", "n_covered", "n_words", "reparameterised"]
+    kinds = [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, dk, th, text, some in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += [(i, dk, th, *x) for x in leaks_of(text, [(x["item_id"], Item(x["text"], threshold)) for x in some])]
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return held.select("doc_id", "dk", "th", "text", "items").mapInArrow(run, "doc_id long, dk long, th long, item_id long, n_covered int, n_words int, reparameterised boolean")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, item_id, n_covered, n_words, reparameterised)`` for every document and item that it leaks."""
+    return _found(docs, benchmark, threshold).drop("dk", "th")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no item. Rows that share a leaking doc_id all go; null ids are judged by their text."""
-    bad = leaks(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["_leak"], "left_anti")
+    """The documents that leak no item. Documents are told apart by id and text, so one with a null id is judged by its text."""
+    bad = _found(docs, benchmark, THRESHOLD).select(F.col("dk").alias("_dk"), F.col("th").alias("_th")).distinct()
+    return docs.join(bad, (F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == bad["_dk"]) & (F.xxhash64(F.lit(10), docs["text"]) == bad["_th"]), "left_anti")
