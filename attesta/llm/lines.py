@@ -2,34 +2,41 @@
 
 Lines are compared lower-cased and trimmed. A repeated line stays at its
 earliest place, by (doc_id, hash of the text, line number), nulls first. Lines
-of ``MIN_WORDS`` words or more also repeat an earlier line within one edit of
-a word: one replaced, added or left out. Words stand between single spaces.
-
-Every variant with one word deleted is emitted as a hashed key in constant
-time: a sum over words (and places, or neighbouring pairs) less the deleted
-word's share. Lines that delete the same place to equal variants differ by a
-replacement; a variant equal to a whole line differs by one word added. Equal
-keys are joined to the earliest line of the key alone, so no pairs are made
-within a group; that link is verified on the words.
-
-Two lines within one edit share their first or their last half. Only lines that
-share a half with a different line emit variants; the others can have no
-partner.
+also repeat an earlier one within ``edits`` words replaced, added or left out,
+if both have ``min_words`` words or more; with the defaults, one word in five.
+Shorter lines repeat equal ones only. Words stand between single spaces.
+
+Each line emits its variants: up to ``edits`` words each either left out or made
+a wild card. Equal variants with ``s`` wild cards, made by leaving out ``d`` words
+here and ``d'`` there, are within ``s + d + d'`` edits, and lines within a bound
+have such variants in common; so equal keys are joined to the earliest line of
+the key for each ``d'`` alone, no pairs are made within a group and no link is
+lost. Keys are 128 bits: exclusive ors of hashes of words and their places, by
+sums up to each place, so a variant takes constant time. Links are verified on
+the words.
+
+Within one edit, two lines share their first or their last half. Then only
+lines that share a half with a different line emit variants; the others can
+have no partner. What is joined by key is written first, so that a key that a
+large share of lines has is split.
 
 Defined results: blank lines aren't compared and stay, unless nothing else
 does; a null text stays null and has no lines; rows that repeat both doc_id and
 text are one document and get the same result; a null doc_id comes before all
-others; an empty table gives no rows.
+others; further columns are carried along whatever their names; very long lines
+are compared whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from attesta.functions.text import let
 from attesta.session import materialise, release_shuffles, remove, scratch_dir
 
-MIN_WORDS = 10
-_LOW44 = (1 << 44) - 1
+EDITS, MIN_WORDS = 1, 5
+#: Words whose sums are made together.
+_RUN = 64
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -38,7 +45,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "dh", "line_no", F.lower(F.trim("line")).alias("norm")).where("norm <> ''")
 
 
-def _ends(norm: str, n: str) -> list[Column]:
+def _ends(norm: str, n: str, min_words: int) -> list[Column]:
     """Hashes of the halves that a line shares with any other within one edit; null where not used.
 
     Of two lines with as many words one half agrees. If one has a word more,
@@ -46,99 +53,115 @@ def _ends(norm: str, n: str) -> list[Column]:
     """
     out = []
     for m in (n, f"({n} - 1)"):  # words of the shorter line
-        long_enough = F.expr(f"{m} >= {MIN_WORDS}")
+        long_enough = F.expr(f"{m} >= {min_words}")
         out.append(F.when(long_enough, F.xxhash64(F.lit(1), F.expr(m), F.expr(f"substring_index({norm}, ' ', cast({m} div 2 as int))"))))
         out.append(F.when(long_enough, F.xxhash64(F.lit(2), F.expr(m), F.expr(f"substring_index({norm}, ' ', cast({m} div 2 - {m} as int))"))))
     return out
 
 
-def first_places(docs: DataFrame) -> DataFrame:
-    """One row for each distinct line: its 128-bit key, its earliest place, and the ends for comparison."""
+def first_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row for each distinct line: its earliest place, its number of words, and the ends for comparison."""
     lines = _lines(docs)
     # Words stand between single spaces.
     n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    ends = _ends("norm", "n")
+    ends = _ends("norm", "n", min_words)
     rows = lines.withColumn("n", n).select(
         F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(7), "norm").alias("k2"),
-        F.struct("doc_id", "dh", "line_no", *(e.alias(f"e{i}") for i, e in enumerate(ends))).alias("at"))
+        F.struct("doc_id", "dh", "line_no", "n", *(e.alias(f"e{i}") for i, e in enumerate(ends))).alias("at"))
     return rows.groupBy("k1", "k2").agg(F.min("at").alias("at")).select("at.*")
 
 
-def with_partners(firsts: DataFrame) -> DataFrame:
-    """Places of distinct lines that share an end with another distinct line."""
+def with_partners(firsts: DataFrame, path: str) -> DataFrame:
+    """Places of distinct lines that share an end with another distinct line; ends that several have are written to ``path``."""
     ends = firsts.select("doc_id", "dh", "line_no", F.explode(F.array_compact(F.array("e0", "e1", "e2", "e3"))).alias("end"))
-    shared = ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select("end")
+    shared = materialise(ends.groupBy("end").agg(F.count("*").alias("c")).where("c > 1").select("end"), path)
     return ends.join(shared, "end").select("doc_id", "dh", "line_no").distinct()
 
 
-def _variants(words: DataFrame) -> DataFrame:
-    """Keys of lines' deletion neighbourhoods: ``(ord, n, hi, lo, pos, whole)``.
+def _sums(xs: Column) -> Column:
+    """Exclusive or of the first 0, 1, ... n of an array of longs, run by run."""
+    nought = F.array(F.lit(0).cast("long"))
+    upto = lambda some: F.aggregate(some, nought, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
 
-    ``whole`` 0: replacement at ``pos``; 1: the line without its word at
-    ``pos``; 2: the line itself (``pos`` is null).
-    """
-    w = F.col("w")
-    word = lambda i: F.coalesce(F.get(w, i), F.lit(""))
-    hashed = words.withColumn("n", F.size(w)).select(
-        "ord", "n", "w",
-        F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.xxhash64(i, F.get(w, i))).alias("single"),
-        F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.xxhash64(word(i - 1), F.lit("\n"), word(i))).alias("pair"))
-    hi, lo = (lambda h: F.shiftrightunsigned(h, 20)), (lambda h: h.bitwiseAND(F.lit(_LOW44)))
-    total = lambda xs, part: F.aggregate(xs, F.lit(0).cast("long"), lambda s, h: s + part(h))
-    summed = hashed.select(
-        "ord", "n", "w", "single", "pair",
-        total(F.col("single"), hi).alias("s_hi"), total(F.col("single"), lo).alias("s_lo"),
-        total(F.col("pair"), hi).alias("p_hi"), total(F.col("pair"), lo).alias("p_lo"))
-
-    def key(kind: int, pos: Column, n: Column, high: Column, low: Column) -> Column:
-        return F.struct(F.lit(kind).alias("whole"), pos.cast("int").alias("pos"), n.alias("len"), high.alias("hi"), low.alias("lo"))
-
-    n, single, pair = F.col("n"), F.col("single"), F.col("pair")
-    replaced = F.transform(F.sequence(F.lit(0), n - 1), lambda i: key(0, i, n, F.col("s_hi") - hi(F.get(single, i)), F.col("s_lo") - lo(F.get(single, i))))
-
-    def without(i: Column) -> Column:
-        joined = F.xxhash64(word(i - 1), F.lit("\n"), word(i + 1))
-        a, b = F.get(pair, i), F.get(pair, i + 1)
-        return key(1, i, n - 1, F.col("p_hi") - hi(a) - hi(b) + hi(joined), F.col("p_lo") - lo(a) - lo(b) + lo(joined))
-
-    deleted = F.transform(F.sequence(F.lit(0), n - 1), without)
-    itself = F.array(key(2, F.lit(None), n, F.col("p_hi"), F.col("p_lo")))
-    return summed.select("ord", F.explode(F.concat(replaced, deleted, itself)).alias("v")).select("ord", "v.*")
-
-
-def near_repeats(words: DataFrame, path: str) -> DataFrame:
-    """Lines of ``words`` (``ord``, array ``w``) that are within one edit of an earlier one: their ``ord``.
-
-    The keys are written to ``path``, as they are joined in three ways.
+    def joined(x: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _RUN).cast("int")), lambda k: upto(F.slice(x, k * _RUN + 1, F.lit(_RUN))))
+        return let(runs, lambda r: let(upto(F.transform(r, lambda a: F.element_at(a, -1))), lambda base: F.concat(
+            F.flatten(F.transform(r, lambda a, k: F.transform(F.slice(a, F.lit(1), F.size(a) - 1), lambda v: v.bitwiseXOR(F.get(base, k))))), F.array(F.element_at(base, -1)))))
+
+    return let(xs, joined)
+
+
+def _variants(words: DataFrame, edits: int) -> DataFrame:
+    """Keys of lines' variants: ``(ord, h1, h2, s, d)`` with ``s`` wild cards and ``d`` words left out."""
+    hashed = lambda seed, place, word: F.xxhash64(F.lit(seed), place, word)
+
+    def shifted(seed: int, t: int) -> Column:
+        return _sums(F.transform("w", lambda x, j: hashed(seed, j - t, x)))
+
+    sums = [F.array(*(shifted(seed, t) for t in range(edits + 1))).alias(f"p{seed}") for seed in (1, 2)]
+    rows = words.select("ord", F.size("w").alias("n"), *sums)
+    at = lambda seed, t, i: F.get(F.get(F.col(f"p{seed}"), t), i)
+    wild = lambda seed, place: hashed(seed, place, F.lit(" "))
+
+    def state(place: Column, t: Column, s: Column, a: list[Column]) -> Column:
+        return F.struct(place.cast("int").alias("i"), t.cast("int").alias("t"), s.cast("int").alias("s"), a[0].alias("a1"), a[1].alias("a2"))
+
+    def extend(st: Column) -> Column:
+        """All states with one edit more, at a later place."""
+        def one(q: Column) -> Column:
+            upto = [st[f"a{k}"].bitwiseXOR(at(k, st["t"], q)).bitwiseXOR(at(k, st["t"], st["i"])) for k in (1, 2)]
+            hidden = [u.bitwiseXOR(wild(k, q - st["t"])) for k, u in enumerate(upto, 1)]
+            return F.array(state(q + 1, st["t"], st["s"] + 1, hidden), state(q + 1, st["t"] + 1, st["s"], upto))
+
+        return F.when(st["i"] < F.col("n"), F.flatten(F.transform(F.sequence(st["i"], F.col("n") - 1), one)))
+
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumn("v0", F.array(state(F.lit(0), F.lit(0), F.lit(0), [zero, zero])))
+    for k in range(edits):
+        rows = rows.withColumn(f"v{k + 1}", F.flatten(F.array_compact(F.transform(f"v{k}", extend))))
+    states = rows.withColumn("v", F.explode(F.concat(*(f"v{k}" for k in range(edits + 1)))))
+    t, i = F.col("v.t"), F.col("v.i")
+    key = [F.col(f"v.a{k}").bitwiseXOR(at(k, t, F.col("n"))).bitwiseXOR(at(k, t, i)).alias(f"h{k}") for k in (1, 2)]
+    return states.select("ord", *key, F.col("v.s").cast("tinyint").alias("s"), t.cast("tinyint").alias("d"))
+
+
+def near_repeats(words: DataFrame, root: str, edits: int = EDITS) -> DataFrame:
+    """Lines of ``words`` (``ord``, array ``w``) that are within ``edits`` words of an earlier one: their ``ord``.
+
+    Keys, and the earliest lines of those that several have, are written below ``root``.
     """
-    keys = materialise(_variants(words), path)
-    at = ["len", "hi", "lo"]
-    same = keys.where("whole = 0")
-    low = same.groupBy(*at, "pos").agg(F.min("ord").alias("partner"), F.count("*").alias("c")).where("c > 1").drop("c")
-    replaced = same.join(low, [*at, "pos"]).where(F.col("ord") > F.col("partner")).select("ord", "partner")
-    whole, less = keys.where("whole = 2").select(*at, "ord"), keys.where("whole = 1").select(*at, "ord")
-    earliest = whole.groupBy(*at).agg(F.min("ord").alias("partner"))
-    longer = less.join(earliest, at).where(F.col("ord") > F.col("partner")).select("ord", "partner")
-    earliest = less.groupBy(*at).agg(F.min("ord").alias("partner"))
-    shorter = whole.join(earliest, at).where(F.col("ord") > F.col("partner")).select("ord", "partner")
-    links = replaced.unionByName(longer).unionByName(shorter).distinct()
+    keys = materialise(_variants(words, edits), f"{root}/keys")
+    first = [F.min(F.when(F.col("d") <= m, F.col("ord"))).alias(f"m{m}") for m in range(edits + 1)]
+    earliest = materialise(keys.groupBy("h1", "h2").agg(F.count("*").alias("c"), *first).where("c > 1").drop("c"), f"{root}/earliest")
+    release_shuffles(words.sparkSession)
+    partner = F.get(F.array(*(f"m{m}" for m in range(edits + 1))), edits - F.col("s") - F.col("d"))
+    links = keys.join(earliest, ["h1", "h2"]).withColumn("partner", partner).where(F.col("ord") > F.col("partner")).select("ord", "partner").distinct()
     pairs = links.join(words.select("ord", F.col("w").alias("a")), "ord").join(words.select(F.col("ord").alias("partner"), F.col("w").alias("b")), "partner")
-    return pairs.where(within_one_edit("a", "b")).select("ord").distinct()
+    return pairs.where(within_edits("a", "b", edits)).select("ord").distinct()
 
 
-def within_one_edit(a: str, b: str) -> Column:
-    """Whether two arrays of words differ by at most one word replaced, added or left out."""
+def within_edits(a: str, b: str, edits: int = EDITS) -> Column:
+    """Whether two arrays of words differ by at most ``edits`` words replaced, added or left out."""
+    if edits > 1:  # row by row of the distances between beginnings
+        beside = lambda row, x: F.aggregate(
+            F.sequence(F.lit(1), F.size(b)), F.array(F.get(row, 0) + 1),
+            lambda new, j: F.concat(new, F.array(F.least(F.element_at(new, -1) + 1, F.get(row, j) + 1, F.get(row, j - 1) + (x != F.get(F.col(b), j - 1)).cast("int")))))
+        return (F.abs(F.size(a) - F.size(b)) <= edits) & (F.element_at(F.aggregate(a, F.sequence(F.lit(0), F.size(b)), beside), -1) <= edits)
     na, nb = F.size(a), F.size(b)
     differ = F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda z: z))
     longer, shorter = F.when(na > nb, F.col(a)).otherwise(F.col(b)), F.when(na > nb, F.col(b)).otherwise(F.col(a))
     # Words that agree from the front, and from the back; together they must cover the shorter one.
     front = lambda x, y: F.coalesce(F.nullif(F.array_position(F.transform(F.zip_with(x, y, lambda p, q: p == q), lambda e: F.coalesce(e, F.lit(False))), F.lit(False)), F.lit(0)) - 1, F.size(y))
-    return F.when(na == nb, differ <= 1).when(F.abs(na - nb) == 1, front(longer, shorter) + front(F.reverse(longer), F.reverse(shorter)) >= F.size(shorter)).otherwise(False)
+    return F.when(na == nb, differ <= edits).when(F.abs(na - nb) <= edits, front(longer, shorter) + front(F.reverse(longer), F.reverse(shorter)) >= F.size(shorter)).otherwise(False)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, kept_text, n_lines, n_removed)`` for every row of ``docs``."""
-    return _dedup(docs).drop("others")
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_words: int | None = None) -> DataFrame:
+    """``(doc_id, text, kept_text, n_lines, n_removed)`` for every row of ``docs``.
+
+    ``min_words`` is ``MIN_WORDS`` for each edit unless it is given; it must be
+    more than ``edits``.
+    """
+    return _dedup(docs, edits, min_words).drop("others")
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -148,23 +171,27 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     return out.select(*(names.get(c, F.col("others")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
-def _dedup(docs: DataFrame) -> DataFrame:
+def _dedup(docs: DataFrame, edits: int = EDITS, min_words: int | None = None) -> DataFrame:
     """As :func:`dedup_lines`, with a struct ``others`` of the further columns."""
+    least = MIN_WORDS * edits if min_words is None else min_words
+    if edits < 0 or least <= edits:
+        raise ValueError("lines that are compared must have more words than may be edited")
     root = scratch_dir(docs.sparkSession)
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias("\0"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), others.alias("others"))
     texts = rows.withColumn("dh", F.xxhash64("text"))
-    firsts = materialise(first_places(texts), f"{root}/firsts")
+    firsts = materialise(first_places(texts, least), f"{root}/firsts")
     release_shuffles(docs.sparkSession)
-    some = with_partners(firsts).groupBy("doc_id", "dh").agg(F.collect_set("line_no").alias("nos"))
+    partners = with_partners(firsts, f"{root}/ends") if edits == 1 else firsts.where(F.lit(edits > 0) & (F.col("n") >= least))
+    some = partners.groupBy("doc_id", "dh").agg(F.collect_set("line_no").alias("nos"))
     once = texts.select("doc_id", "dh", "text").alias("t").join(some.alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.dh") == F.col("s.dh"))).select("t.doc_id", "t.dh", "t.text", "s.nos")
     words = once.select("doc_id", "dh", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no")).select(
         F.struct("doc_id", "dh", F.col("no").alias("line_no")).alias("ord"), F.split(F.lower(F.trim(F.get("lines", "no"))), " ").alias("w")).dropDuplicates(["ord"])
     words = materialise(words, f"{root}/words")
     release_shuffles(docs.sparkSession)
-    gone = materialise(near_repeats(words, f"{root}/keys"), f"{root}/gone").select("ord.*")
-    remove(docs.sparkSession, f"{root}/keys")
-    remove(docs.sparkSession, f"{root}/words")
+    gone = materialise(near_repeats(words, root, edits), f"{root}/gone").select("ord.*")
+    for name in ("keys", "earliest", "words", "ends"):
+        remove(docs.sparkSession, f"{root}/{name}")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.dh") == F.col(f"{b}.dh"))
     stay = firsts.alias("f").join(gone.alias("g"), same("f", "g") & (F.col("f.line_no") == F.col("g.line_no")), "left_anti")
     kept = materialise(stay.groupBy("doc_id", "dh").agg(F.collect_list("line_no").alias("kept")), f"{root}/kept")

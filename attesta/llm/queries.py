@@ -126,7 +126,7 @@ ORACLE_SQL: dict[str, str] = {
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
 n AS (SELECT doc_id, no, x, lower(trim(x, ' ')) AS n FROM l),
 f AS (SELECT doc_id, no, n FROM n WHERE n <> '' QUALIFY row_number() OVER (PARTITION BY n ORDER BY doc_id, no) = 1),
-w AS (SELECT doc_id, no, n, string_split(n, ' ') AS w FROM f WHERE len(string_split(n, ' ')) >= 10),
+w AS (SELECT doc_id, no, n, string_split(n, ' ') AS w FROM f WHERE len(string_split(n, ' ')) >= 5),
 v AS (SELECT doc_id, no, i, len(w) AS len, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS k FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)),
 near AS (SELECT a.doc_id, a.no FROM v a JOIN v b ON a.len = b.len AND a.i = b.i AND a.k = b.k WHERE (b.doc_id, b.no) < (a.doc_id, a.no)
   UNION SELECT v.doc_id, v.no FROM v JOIN w ON v.k = w.n AND v.len = len(w.w) + 1 WHERE (w.doc_id, w.no) < (v.doc_id, v.no)

@@ -88,16 +88,18 @@ def test_keep_one_and_nothing(awkward, nothing):
     assert {r["doc_id"] for r in kept.collect()} >= {1, 4, 7, 10}
 
 
-def near(a, b):
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
-    if abs(len(a) - len(b)) != 1:
-        return False
-    a, b = (a, b) if len(a) > len(b) else (b, a)
-    return any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
-
-
-def brute_lines(rows):
+def distance(a, b):
+    """Words to replace, add or leave out."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def brute_lines(rows, edits=1, min_words=5):
     """What stays of each (doc_id, text)."""
     docs = sorted({(i is not None, i or 0, t or "") for i, t in rows if t is not None})
     first = {}
@@ -109,8 +111,8 @@ def brute_lines(rows):
     gone, seen = set(), []
     for n, at in sorted(first.items(), key=lambda x: (x[1][0][:2], x[1][0][2], x[1][1])):
         w = n.split(" ")
-        if len(w) >= lines.MIN_WORDS:
-            if any(near(w, v) for v in seen):
+        if len(w) >= min_words:
+            if any(distance(w, v) <= edits for v in seen):
                 gone.add(at)
             seen.append(w)
     out = {}
@@ -120,25 +122,40 @@ def brute_lines(rows):
     return out
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize(("edits", "run", "length"), [(1, 64, 14), (1, 4, 14), (1, 64, 5), (2, 64, 8), (0, 64, 6)])
+def test_lines_against_brute_force(spark, monkeypatch, edits, run, length):
+    monkeypatch.setattr(lines, "_RUN", run)
     rng = random.Random(2)
-    base = [prose(s, 14).split(" ") for s in range(12)]
+    base = [prose(s, length).split(" ") for s in range(12)]
     texts = []
     for i in range(60):
         some = []
         for _ in range(rng.randint(1, 6)):
             w = list(rng.choice(base))
-            for _ in range(rng.randint(0, 2)):
+            for _ in range(rng.randint(0, 2 + (edits > 1))):
                 k = rng.randrange(len(w))
                 rng.choice([lambda w=w, k=k: w.pop(k), lambda w=w, k=k: w.insert(k, f"new{rng.randrange(9)}"), lambda w=w, k=k: w.__setitem__(k, f"sub{rng.randrange(9)}")])()
             some.append(" ".join(w) if rng.random() < 0.9 else rng.choice(["", "short line", "Short Line "]))
         texts.append((i, "\n".join(some)))
-    got = {r["doc_id"]: r["kept_text"] for r in lines.dedup_lines(documents(spark, [(i, t, "en", "a") for i, t in texts])).collect()}
-    want = {d[1]: x for d, x in brute_lines(texts).items()}
+    least = max(5, length - 2)
+    got = {r["doc_id"]: r["kept_text"] for r in lines.dedup_lines(documents(spark, [(i, t, "en", "a") for i, t in texts]), edits, least).collect()}
+    want = {d[1]: x for d, x in brute_lines(texts, edits, least).items()}
     assert got == want
     assert sum(x != t for (i, t), x in zip(texts, [want[i] for i, _ in texts], strict=True)) > 20
 
 
+def test_no_link_is_lost_to_other_lines_of_the_same_pairs(spark):
+    one, two = "x q q1 q2 q3 x p p1 p2 p3 x", "x p p1 p2 p3 x q q1 q2 q3 x"
+    rows = [(1, one), (2, two), (3, two + " more"), (4, one[:-1] + "y"), (5, "share this page with 12 friends"), (6, "share this page with 15 friends"), (7, "page 1 of 9"), (8, "page 2 of 9")]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(documents(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 1, 7: 0, 8: 0}
+
+
+def test_edit_bounds_that_make_no_sense(awkward):
+    with pytest.raises(ValueError, match="more words"):
+        lines.dedup_lines(awkward, 2, 2)
+
+
 def test_lines_awkward(awkward, nothing):
     rows = lines.dedup_lines(awkward).collect()
     assert len(rows) == len(AWKWARD)
@@ -152,19 +169,20 @@ def test_lines_awkward(awkward, nothing):
     assert 6 not in {r["doc_id"] for r in kept.collect()}
 
 
-def test_within_one_edit(spark):
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_within_edits(spark, edits):
     rng = random.Random(4)
     pairs = []
     for _ in range(300):
         a = [rng.choice("abc") for _ in range(rng.randint(1, 6))]
         b = list(a)
-        for _ in range(rng.randint(0, 2)):
+        for _ in range(rng.randint(0, 3)):
             k = rng.randrange(len(b) + 1)
             b[k : k + rng.randint(0, 1)] = [rng.choice("abc")] * rng.randint(0, 1)
         pairs.append((a, b))
     pairs = [(a, b) for a, b in pairs if a and b]
-    rows = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", lines.within_one_edit("a", "b").alias("ok")).collect()
-    assert all(r["ok"] == near(r["a"], r["b"]) for r in rows)
+    rows = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", lines.within_edits("a", "b", edits).alias("ok")).collect()
+    assert all(r["ok"] == (distance(r["a"], r["b"]) <= edits) for r in rows)
 
 
 def brute_repeats(texts, window=35):
