@@ -215,8 +215,21 @@ def test_substrings_of_overlapping_passages(spark):
         w = " ".join(parts).split()
         a = rng.randrange(max(1, len(w) // 2))
         texts.append("\n".join(" ".join(w[j : j + 9]) for j in range(a, len(w), 9)))
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
-    assert got == dict(enumerate(brute_repeats(texts)))
+    rows = substrings.remove_repeats(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in rows} == dict(enumerate(brute_repeats(texts)))
+    words = [t.split() for t in texts]
+    for r in rows:
+        assert sum(f["length"] for f in r["factors"]) == r["n_removed"]
+        for f in r["factors"]:
+            own, there = (words[d][k : k + f["length"]] for d, k in ((r["doc_id"], f["start"]), (f["ref"], f["at"])))
+            assert own == there and f["ref"] <= r["doc_id"]
+    assert any(len(r["factors"]) > 1 for r in rows) and any(f["ref"] != r["doc_id"] and f["length"] > 40 for r in rows for f in r["factors"])
+
+
+def test_greedy_parse():
+    assert substrings.parse([]) == []
+    assert substrings.parse([(3, 8, 1, 0), (4, 9, 1, 1), (5, 12, 2, 30), (20, 25, 1, 7)]) == [(3, 6, 1, 0), (9, 3, 2, 34), (20, 5, 1, 7)]
+    assert substrings.parse([(0, 5, 2, 0), (0, 5, 1, 3), (5, 9, 9, 9)]) == [(0, 5, 1, 3), (5, 4, 9, 9)]
 
 
 def test_anchor_is_a_function_of_the_window():
