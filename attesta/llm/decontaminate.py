@@ -420,7 +420,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame
     # A document's items are verified together, at most about CHUNK of them in a task's row.
     parts = pairs.groupBy("dk", "th").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     grouped = pairs.join(parts, ["dk", "th"]).withColumn("part", F.pmod(F.xxhash64("ik"), F.col("parts"))).join(items, "ik")
-    grouped = grouped.groupBy("dk", "th", "part").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    # Written, so that its size is known when it meets the documents: a small one is broadcast, and they aren't shuffled.
+    grouped = materialise(grouped.groupBy("dk", "th", "part").agg(F.collect_list(F.struct("item_id", "text")).alias("items")), f"{root}/grouped")
     held = rows.join(grouped, ["dk", "th"]).dropDuplicates(["dk", "th", "part"])
     names = ["doc_id", "dk", "th", "item_id", "n_covered", "n_words", "reparameterised"]
     kinds = [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.bool_()]
@@ -444,4 +445,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item. Documents are told apart by id and text, so one with a null id is judged by its text."""
     bad = _found(docs, benchmark, THRESHOLD).select(F.col("dk").alias("_dk"), F.col("th").alias("_th")).distinct()
+    bad = materialise(bad, f"{scratch_dir(docs.sparkSession)}/bad")
     return docs.join(bad, (F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == bad["_dk"]) & (F.xxhash64(F.lit(10), docs["text"]) == bad["_th"]), "left_anti")

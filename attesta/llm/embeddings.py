@@ -17,10 +17,15 @@ blocks of ``BLOCK``, salted by hash, as matrix products; a block gives each
 vector its number of links and a spanning forest of edges, never pairs. A pair
 that both ends would find is counted by the end that looks, once.
 
+The grid's centroids grow with the vectors of a label up to ``MOST_CENTROIDS`` of
+each half; :func:`index_report` tells the recall that the visits reached.
+
 Defined results: vectors that are null, zero, or have null or non-finite
 components, and those with a null label, have no links; vectors of different
 lengths or labels are not compared; a repeated vec_id gives its row each time;
-an empty table gives no rows.
+a null vec_id gives a row and is never a component's id unless all its vectors'
+are; equal vectors link with each other; further columns are not looked at; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ from attesta.session import materialise, scratch_dir
 #: Vectors that codebooks are fitted on, at most; those of them whose neighbours are looked for at first; neighbours that tell the number of visits.
 SAMPLE, PROBED, LEAST_PAIRS = 8_192, 1_024, 1_000
 #: Members of a cell aimed at; centroids of a half at most; vectors compared as one block.
-OCCUPANCY, MOST_CENTROIDS, BLOCK = 64, 256, 1024
+OCCUPANCY, MOST_CENTROIDS, BLOCK = 64, 2048, 1024
 TARGET_RECALL = 0.999
 
 
@@ -82,8 +87,8 @@ def multi_sequence(d1: np.ndarray, d2: np.ndarray, visits: int) -> list[tuple[in
 class Index:
     """Codebooks of the two halves for vectors of one length."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray, visits: int):
-        self.first, self.second, self.visits = first, second, visits
+    def __init__(self, first: np.ndarray, second: np.ndarray, visits: int, recall: float = 1.0):
+        self.first, self.second, self.visits, self.recall = first, second, visits, recall
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         """For each row the cells it visits, its own first, as numbers."""
@@ -150,7 +155,8 @@ def fit(reps: DataFrame, dim: int, per_label: float, threshold: float, target: f
         return one_cell(dim)
     reached = np.minimum(ranks["n"].cumsum() / ranks["n"].sum(), ranks["share"].cumsum() / ranks["share"].sum()).to_numpy()
     enough = np.flatnonzero(reached >= target)
-    index.visits = int(ranks["rank"].iloc[enough[0] if len(enough) else -1]) + 1  # one cell more than it took
+    place = enough[0] if len(enough) else len(reached) - 1
+    index.visits, index.recall = int(ranks["rank"].iloc[place]) + 1, float(reached[place])  # one cell more than it took
     return one_cell(dim) if index.visits * OCCUPANCY >= per_label else index
 
 
@@ -184,17 +190,30 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(moved.tolist(), label[moved].tolist(), strict=True))
 
 
+def fit_all(reps: DataFrame, threshold: float) -> dict[int, Index]:
+    """One index for each length of vectors."""
+    sizes = reps.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).orderBy("dim").collect()
+    return {r["dim"]: fit(reps, r["dim"], r["n"] / max(1, r["labels"]), threshold) for r in sizes}
+
+
+def index_report(rows: DataFrame, threshold: float = 0.93) -> list[dict]:
+    """For each length of vectors its grid, the cells that are visited, and the recall measured over all rows (1 where all are compared)."""
+    reps = materialise(representatives(_vectors(rows)), f"{scratch_dir(rows.sparkSession)}/reps")
+    return [{"dim": dim, "cells": len(x.first) * len(x.second), "visits": x.visits, "recall": x.recall} for dim, x in fit_all(reps, threshold).items()]
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+
+
 def near_duplicates(rows: DataFrame, threshold: float = 0.93) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of vec_id, embedding, label."""
     spark = rows.sparkSession
     bound_batches(spark, 1024)
     root = scratch_dir(spark)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    rows = _vectors(rows)
     reps = materialise(representatives(rows), f"{root}/reps")
-    sizes = reps.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).orderBy("dim").collect()
-    indexes: dict[int, Index] = {}
-    for r in sizes:  # one codebook for each length of vectors
-        indexes[r["dim"]] = fit(reps, r["dim"], r["n"] / max(1, r["labels"]), threshold)
+    indexes = fit_all(reps, threshold)
     shared = spark.sparkContext.broadcast(indexes)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +237,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93) -> DataFrame:
     # Blocks of a cell: members and visitors are dealt out by hash, and each block of one meets each of the other.
     members = home.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
     visitors = probe.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v"))
-    grid = members.join(visitors, key)
+    # Written, so that a small grid is broadcast, and rows of a hot cell are split where they meet a large one.
+    grid = materialise(members.join(visitors, key), f"{root}/grid")
     h = home.join(grid, key).select(*key, F.pmod(F.xxhash64("rep"), F.col("m")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("v") - 1)).alias("j"), "rep", "copies", "unit", "cells")
     p = probe.join(grid, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), F.pmod(F.xxhash64("rep", F.lit(3)), F.col("v")).alias("j"), "rep", "copies", "unit", F.col("cells")[0].alias("own"))
     block = [*key, "i", "j"]

@@ -8,13 +8,18 @@ address suffix's, and that toward the corpus's, from the texts' own posteriors
 added up by grouped aggregation. A row's own posterior is taken out of its
 host's counts.
 
-Only the trigram model is fitted on a sample, of ``TRAIN_ROWS`` rows that
-declare a language; priors and declarations are counted over all rows.
+Languages are those that ``LEAST_SHARE`` or more of the rows with a declaration
+declare, and ``LEAST_ROWS`` rows at least, counted over all rows. Only the trigram
+model is fitted on a sample, of ``TRAIN_ROWS`` rows of each; priors and
+declarations are counted over all rows.
 
 Defined results: a null or empty text, or one without letters, gives no
 evidence of its own: it gets the most likely language of its surroundings, and
 is not kept; null declarations, suffixes and hosts are values like any other;
-rows that repeat are judged each; an empty table gives no rows.
+of equally likely languages the first by name counts; languages that too few
+rows declare are told as ``und`` and not kept; rows that repeat are judged each;
+further columns are not looked at; very long texts are read whole; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ from attesta.llm.common import bound_batches
 from attesta.llm.tokens import forget
 from attesta.session import materialise, scratch_dir
 
-#: Languages told apart; declared rows of each that the model is fitted on, at most.
-LANGUAGES, TRAIN_ROWS = ("de", "en", "es", "fr"), 1_000
+#: Share of declared rows, and rows, that make a language; declared rows of each that the model is fitted on, at most.
+LEAST_SHARE, LEAST_ROWS, TRAIN_ROWS = 0.01, 10, 1_000
+#: Declarations that name no language.
+NO_LANGUAGE = ("", "mul", "none", "null", "und", "unknown", "x-default", "xx", "zxx")
 #: Hashed trigrams (log2), their smoothing, and the share of a text's log likelihood that counts.
 TABLE_BITS, SMOOTHING, TEMPER = 16, 0.05, 1 / 3
 #: Rows' worth of trust in a suffix over one host, and in the corpus over one suffix; least posterior of a kept row.
@@ -59,9 +66,18 @@ def trigrams(text: str | None, at: int = 1 << 20) -> Iterator[np.ndarray]:
         yield code >> np.uint32(32 - TABLE_BITS)
 
 
-def fit(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, train_rows: int = TRAIN_ROWS) -> np.ndarray:
+def languages_of(rows: DataFrame) -> tuple[str, ...]:
+    """Languages that enough rows declare, by name; a share of each bounds how many there can be."""
+    counts = rows.where(F.col("declared").isNotNull() & ~F.col("declared").isin(*NO_LANGUAGE) & F.col("text").isNotNull()).groupBy("declared").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return tuple(sorted(r["declared"] for r in counts.where(F.col("n") >= max(LEAST_ROWS, LEAST_SHARE * total)).collect()))
+
+
+def fit(rows: DataFrame, languages: tuple[str, ...], train_rows: int = TRAIN_ROWS) -> np.ndarray:
     """Log likelihood of each trigram under each language and, last, the background."""
     known = rows.where(F.col("declared").isin(*languages) & F.col("text").isNotNull())
+    if not languages:
+        return np.full((1 << TABLE_BITS, 1), -TABLE_BITS * np.log(2), np.float32)
     parts = []
     for lang in languages:  # the smallest hashes: a bounded top-k of ids, then those rows' texts
         parts.append(known.where(F.col("declared") == lang).select("key", "declared").orderBy(F.xxhash64("key"), "key").limit(train_rows))
@@ -116,14 +132,15 @@ def softmax(ll: str, size: int) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
-def identify(rows: DataFrame, keep: list[str], languages: tuple[str, ...] = LANGUAGES, table: np.ndarray | None = None) -> DataFrame:
-    """``keep`` columns with language, posterior and kept.
+def identify(rows: DataFrame, keep: list[str], languages: tuple[str, ...] | None = None, table: np.ndarray | None = None) -> DataFrame:
+    """``keep`` columns with language, posterior, kept, and the language that the text alone tells.
 
-    ``rows`` has key, text, declared, suffix and host; ``table`` is the trigram
-    model if it was fitted elsewhere.
+    ``rows`` has key, text, declared, suffix and host; ``languages`` and ``table``
+    are those of the trigram model if it was fitted elsewhere.
     """
     spark, root = rows.sparkSession, scratch_dir(rows.sparkSession)
     bound_batches(spark)
+    languages = languages_of(rows) if languages is None else languages
     names = [*languages, OTHER]
     size = len(names)
     table = fit(rows, languages) if table is None else table
@@ -138,7 +155,7 @@ def identify(rows: DataFrame, keep: list[str], languages: tuple[str, ...] = LANG
     total = np.array([whole[f"s{i}"] or 0.0 for i in range(size)]) + 1.0
     corpus = F.array(*(F.lit(float(x)) for x in total / total.sum()))
     # Declarations beyond the languages count as one; so there are at most size + 1 rows.
-    said = F.when(F.col("declared").isin(*languages), F.col("declared")).when(F.col("declared").isNotNull(), F.lit(OTHER))
+    said = F.when(F.col("declared").isin(*names), F.col("declared")).when(F.col("declared").isNotNull(), F.lit(OTHER))
     declared = {r["said"]: np.array([r[f"s{i}"] for i in range(size)]) for r in seen.groupBy(said.alias("said")).agg(*sums).collect()}
     all_said = sum(declared.values(), np.zeros(size))
     evidence = {k: np.log((v + 0.5) / (all_said + 0.5 * max(1, len(declared)))).tolist() for k, v in declared.items() if k is not None}
@@ -160,19 +177,22 @@ def identify(rows: DataFrame, keep: list[str], languages: tuple[str, ...] = LANG
     others = F.zip_with("counts", F.coalesce("p", zero), lambda a, b: F.greatest(a - b, F.lit(0.0)))
     prior = norm(smooth(others, HOST_WEIGHT, F.col("suffix_prior")))
     weight = F.zip_with(F.zip_with("ll", F.coalesce("e", zero), lambda a, b: a + b), prior, lambda a, b: a + F.ln(b))
-    picked = joined.select(*(F.col(f"r.{k}").alias(k) for k in keep), "n", weight.alias("w")).withColumn("post", softmax("w", size))
+    picked = joined.select(*(F.col(f"r.{k}").alias(k) for k in keep), "n", "ll", weight.alias("w")).withColumn("post", softmax("w", size))
     best = F.array_max("post")
     place = F.array_position("post", best)
     return picked.select(
         *keep, F.element_at(F.array(*(F.lit(x) for x in names)), place.cast("int")).alias("language"), best.alias("posterior"),
-        ((F.col("n") > 0) & (place != size) & (best >= LEAST)).alias("kept"))
+        ((F.col("n") > 0) & (place != size) & (best >= LEAST)).alias("kept"),
+        F.when(F.col("n") > 0, F.element_at(F.array(*(F.lit(x) for x in names)), F.array_position("ll", F.array_max("ll")).cast("int"))).alias("by_text"))
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """Documents as evidence: ``lang`` is the declaration and ``source`` the host; there is no suffix."""
+    """Documents as evidence: ``lang`` is the declaration and ``source`` the host, with a suffix if it has a dot."""
+    source = F.col("source").cast("string")
+    suffix = F.when(F.contains(source, F.lit(".")), F.substring_index(F.lower(source), ".", -1))
     return docs.select(
         F.col("doc_id").cast("long").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"),
-        F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"))
+        F.lower("lang").alias("declared"), suffix.alias("suffix"), source.alias("host"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

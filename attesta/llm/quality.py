@@ -13,8 +13,9 @@ corpus's.
 Defined results: a null or empty text has the features of none; null sites and
 sections are groups of their own; without labels of both classes the
 probability is the bias of what there is; several labels of a document count
-as their minimum; rows that repeat are judged each; an empty table gives no
-rows.
+as their minimum; a score of exactly 0.5 is kept; rows that repeat are judged
+each, and learnt from each if they are labelled; further columns are not looked
+at; very long texts are measured whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -73,16 +74,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(x).tolist() for x in batch.column(2).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "y", "at"])
 
-    found = texts.mapInArrow(measure, "doc_id long, y int, at array<long>").toPandas()  # at most ``rows`` rows of fourteen numbers
-    found = found.assign(o=(found["doc_id"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).sort_values(["o", "y"])
-    model = Ftrl(BITS, alpha=0.1, l1=0.5)
-    for _ in range(epochs):
-        for y, at in zip(found["y"], found["at"], strict=True):
-            model.learn(np.asarray(at), int(y))
-    at, w = model.weights()
-    dense = np.zeros(1 << BITS)
-    dense[at] = w
-    return dense, model.bias
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = []
+        for batch in batches:
+            examples += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        examples.sort(key=lambda e: (e[0] * 0x9E3779B97F4A7C15 & ((1 << 64) - 1), e[1], e[2]))
+        model = Ftrl(BITS, alpha=0.1, l1=0.5)
+        for _ in range(epochs):
+            for _, y, at in examples:
+                model.learn(np.asarray(at), y)
+        at, w = model.weights()
+        dense = np.zeros(1 << BITS)
+        dense[at] = w
+        yield pa.RecordBatch.from_arrays([pa.array([dense.tolist()], pa.list_(pa.float64())), pa.array([float(model.bias)])], ["w", "bias"])
+
+    found = texts.mapInArrow(measure, "doc_id long, y int, at array<long>")
+    row = found.repartition(1).mapInArrow(train, "w array<double>, bias double").first()
+    return (np.zeros(1 << BITS), 0.0) if row is None else (np.array(row["w"]), row["bias"])
 
 
 def evidence(rows: DataFrame, model: tuple[np.ndarray, float], keep: list[str]) -> DataFrame:
@@ -99,14 +107,18 @@ def evidence(rows: DataFrame, model: tuple[np.ndarray, float], keep: list[str])
     return rows.select(*keep, "text").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", e double")
 
 
-def pull(groups: DataFrame, mean: float) -> float:
-    """Documents' worth of trust in the parent, from groups' counts ``n`` and sums ``k``: a moment fit of a beta-binomial."""
-    r = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("k") / F.col("n") - mean) ** 2).alias("between"), F.count("*").alias("groups")).first()
-    if not r["n"] or r["groups"] < 2:
+def pull(groups: DataFrame, parents: int) -> float:
+    """Documents' worth of trust in the parent: a moment fit of a beta-binomial.
+
+    ``groups`` has counts ``n``, sums ``k`` and the parent's mean ``m``, about which
+    the spread is measured; each of ``parents`` takes a degree of freedom.
+    """
+    noise = F.col("m") * (1 - F.col("m"))
+    r = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("k") / F.col("n") - F.col("m")) ** 2).alias("between"), F.sum(noise).alias("noise"), F.sum(F.col("n") * noise).alias("own"), F.count("*").alias("groups")).first()
+    if not r["n"] or r["groups"] <= parents:
         return MOST_WEIGHT
-    noise = mean * (1 - mean) * r["groups"] / r["n"]
-    spread = max(1e-9, r["between"] / r["n"] - noise)
-    return float(np.clip(mean * (1 - mean) / spread - 1, LEAST_WEIGHT, MOST_WEIGHT))
+    spread = max(1e-9, (r["between"] - r["noise"] * (1 - parents / r["groups"])) / r["n"])
+    return float(np.clip(r["own"] / r["n"] / spread - 1, LEAST_WEIGHT, MOST_WEIGHT))
 
 
 def _odds(p: Column) -> Column:
@@ -121,12 +133,14 @@ def grade(rows: DataFrame, model: tuple[np.ndarray, float], keep: list[str]) ->
     seen = materialise(evidence(rows, model, list(dict.fromkeys([*keep, "site", "section"]))), f"{root}/seen")
     sections = materialise(seen.groupBy("site", "section").agg(F.count("*").alias("n"), F.sum("e").alias("k")), f"{root}/sections")
     sites = sections.groupBy("site").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    total = sites.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    total = sites.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("sites")).first()
     mean = float(np.clip(total["k"] / total["n"], EDGE, 1 - EDGE)) if total["n"] else 0.5
-    site_pull, section_pull = pull(sites, mean), pull(sections, mean)
     table = materialise(
         sections.alias("c").join(sites.alias("s"), F.col("c.site").eqNullSafe(F.col("s.site")))
         .select("c.site", "c.section", "c.n", "c.k", F.col("s.n").alias("sn"), F.col("s.k").alias("sk")), f"{root}/table")
+    # Sites differ from the corpus, sections from their own site.
+    site_pull = pull(sites.withColumn("m", F.lit(mean)), 1)
+    section_pull = pull(table.withColumn("m", F.col("sk") / F.col("sn")), total["sites"])
     joined = seen.alias("r").join(table.alias("t"), F.col("r.site").eqNullSafe(F.col("t.site")) & F.col("r.section").eqNullSafe(F.col("t.section")))
     site_mean = (F.col("sk") - F.col("e") + site_pull * mean) / (F.col("sn") - 1 + site_pull)
     section_mean = (F.col("k") - F.col("e") + section_pull * site_mean) / (F.col("n") - 1 + section_pull)

@@ -86,10 +86,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every page from its text, markup, address suffix and host."""
-    from attesta.llm.language import document_rows, fit, identify, page_rows
+    from attesta.llm.language import document_rows, fit, identify, languages_of, page_rows
 
-    model = fit(document_rows(table(spark, sf_dir, "documents")))
-    return identify(page_rows(table(spark, sf_dir, "pages")), ["page_id"], table=model)
+    rows = document_rows(table(spark, sf_dir, "documents"))
+    languages = languages_of(rows)
+    return identify(page_rows(table(spark, sf_dir, "pages")), ["page_id"], languages, fit(rows, languages))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
