@@ -96,12 +96,13 @@ def _variants(words: DataFrame, edits: int) -> DataFrame:
     hashed = lambda seed, place, word: F.xxhash64(F.lit(seed), place, word)
 
     def shifted(seed: int, t: int) -> Column:
-        return _sums(F.transform("w", lambda x, j: hashed(seed, j - t, x)))
+        return _sums(F.transform("c", lambda x, j: hashed(seed, j - t, x)))
 
     sums = [F.array(*(shifted(seed, t) for t in range(edits + 1))).alias(f"p{seed}") for seed in (1, 2)]
-    rows = words.select("ord", F.size("w").alias("n"), *sums)
+    coded = words.select("ord", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("c"))
+    rows = coded.select("ord", "n", *sums)
     at = lambda seed, t, i: F.get(F.get(F.col(f"p{seed}"), t), i)
-    wild = lambda seed, place: hashed(seed, place, F.lit(" "))
+    wild = lambda seed, place: hashed(seed, place, F.lit(0))
 
     def state(place: Column, t: Column, s: Column, a: list[Column]) -> Column:
         return F.struct(place.cast("int").alias("i"), t.cast("int").alias("t"), s.cast("int").alias("s"), a[0].alias("a1"), a[1].alias("a2"))
@@ -119,10 +120,14 @@ def _variants(words: DataFrame, edits: int) -> DataFrame:
     rows = rows.withColumn("v0", F.array(state(F.lit(0), F.lit(0), F.lit(0), [zero, zero])))
     for k in range(edits):
         rows = rows.withColumn(f"v{k + 1}", F.flatten(F.array_compact(F.transform(f"v{k}", extend))))
-    states = rows.withColumn("v", F.explode(F.concat(*(f"v{k}" for k in range(edits + 1)))))
-    t, i = F.col("v.t"), F.col("v.i")
-    key = [F.col(f"v.a{k}").bitwiseXOR(at(k, t, F.col("n"))).bitwiseXOR(at(k, t, i)).alias(f"h{k}") for k in (1, 2)]
-    return states.select("ord", *key, F.col("v.s").cast("tinyint").alias("s"), t.cast("tinyint").alias("d"))
+
+    def key(st: Column) -> Column:
+        rest = [st[f"a{k}"].bitwiseXOR(at(k, st["t"], F.col("n"))).bitwiseXOR(at(k, st["t"], st["i"])) for k in (1, 2)]
+        return F.struct(rest[0].alias("h1"), rest[1].alias("h2"), st["s"].cast("tinyint").alias("s"), st["t"].cast("tinyint").alias("d"))
+
+    # Keys are made before they become rows, so that a row carries no sums.
+    whole = rows.withColumn("v", F.concat(*(f"v{k}" for k in range(edits + 1)))).select("ord", F.transform("v", key).alias("v"))
+    return whole.select("ord", F.explode("v").alias("v")).select("ord", "v.*")
 
 
 def near_repeats(words: DataFrame, root: str, edits: int = EDITS) -> DataFrame:
