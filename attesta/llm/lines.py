@@ -29,6 +29,8 @@ are compared whole; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta.functions.text import let
@@ -36,7 +38,7 @@ from attesta.session import materialise, release_shuffles, remove, scratch_dir
 
 EDITS, MIN_WORDS = 1, 5
 #: Words whose sums are made together.
-_RUN = 64
+_RUN = 16
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -78,56 +80,117 @@ def with_partners(firsts: DataFrame, path: str) -> DataFrame:
     return ends.join(shared, "end").select("doc_id", "dh", "line_no").distinct()
 
 
-def _sums(xs: Column) -> Column:
-    """Exclusive or of the first 0, 1, ... n of an array of longs, run by run."""
-    nought = F.array(F.lit(0).cast("long"))
-    upto = lambda some: F.aggregate(some, nought, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
+def _sums(xs: Column, names: list[str]) -> Column:
+    """Exclusive or of the first 0, 1, ... n of an array of structs of longs, field by field; run by run."""
+    both = lambda a, b: F.struct(*(a[f].bitwiseXOR(b[f]).alias(f) for f in names))
+    nought = F.array(F.struct(*(F.lit(0).cast("long").alias(f) for f in names)))
+    upto = lambda some: F.aggregate(some, nought, lambda acc, x: F.concat(acc, F.array(both(F.element_at(acc, -1), x))))
 
     def joined(x: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _RUN).cast("int")), lambda k: upto(F.slice(x, k * _RUN + 1, F.lit(_RUN))))
         return let(runs, lambda r: let(upto(F.transform(r, lambda a: F.element_at(a, -1))), lambda base: F.concat(
-            F.flatten(F.transform(r, lambda a, k: F.transform(F.slice(a, F.lit(1), F.size(a) - 1), lambda v: v.bitwiseXOR(F.get(base, k))))), F.array(F.element_at(base, -1)))))
+            F.flatten(F.transform(r, lambda a, k: let(F.get(base, k), lambda c: F.transform(F.slice(a, F.lit(1), F.size(a) - 1), lambda v: both(v, c))))), F.array(F.element_at(base, -1)))))
 
     return let(xs, joined)
 
 
+_HALVES = (1, 2)
+
+
+def _name(half: int, t: int) -> str:
+    return f"p{half}_{t}"
+
+
+def _code(half: int, place: Column, word: Column) -> Column:
+    return F.xxhash64(F.lit(half), place, word)
+
+
+def _xor(first: Column, *more: Column) -> Column:
+    for x in more:
+        first = first.bitwiseXOR(x)
+    return first
+
+
+class _Sums:
+    """Sums of a line's words up to each place; words count by their place less ``t``, the words left out before them.
+
+    A state ``(i, s, a1, a2)`` is a beginning of a variant: the words before
+    place ``i``, ``s`` of them wild cards, and both halves of their sum.
+    """
+
+    def __init__(self, sums: Column):
+        self.p, self.n = sums, F.size(sums) - 1
+
+    def at(self, half: int, t: int, i: Column) -> Column:
+        return F.get(self.p, i)[_name(half, t)]
+
+    def later(self, st: Column, f: Callable[[Column], Column]) -> Column:
+        """Of each place that a further edit may have."""
+        return F.transform(F.when(st["i"] < self.n, F.sequence(st["i"], self.n - 1)).otherwise(F.array().cast("array<int>")), f)
+
+    def hidden(self, half: int, t: int, wild: bool, q: Column) -> list[Column]:
+        return [_code(half, q - t, F.lit(0))] if wild else []
+
+    def key(self, h: list[Column], s: Column, t: int) -> Column:
+        return F.struct(h[0].alias("h1"), h[1].alias("h2"), s.cast("tinyint").alias("s"), F.lit(t).cast("tinyint").alias("d"))
+
+    def state(self, i: Column, s: Column, a: list[Column]) -> Column:
+        return F.struct(i.cast("int").alias("i"), s.cast("int").alias("s"), a[0].alias("a1"), a[1].alias("a2"))
+
+    def as_they_are(self, states: Column, t: int) -> Column:
+        """Keys of states without a further edit."""
+        return F.transform(states, lambda st: self.key([_xor(st[f"a{k}"], self.at(k, t, st["i"]), self.at(k, t, self.n)) for k in _HALVES], st["s"], t))
+
+    def last(self, states: Column, t: int, wild: bool) -> Column:
+        """Keys with one edit more: a wild card at each later place, or each later word left out."""
+        to = t if wild else t + 1
+
+        def of(st: Column) -> Column:
+            base = F.array(*(_xor(st[f"a{k}"], self.at(k, t, st["i"]), self.at(k, to, self.n)) for k in _HALVES))
+            one = lambda x, q: self.key([_xor(F.get(x, k - 1), self.at(k, t, q), self.at(k, to, q + 1), *self.hidden(k, t, wild, q)) for k in _HALVES], st["s"] + int(wild), to)
+            return let(base, lambda x: self.later(st, lambda q: one(x, q)))
+
+        return F.flatten(F.transform(states, of))
+
+    def more(self, states: Column, t: int, wild: bool) -> Column:
+        """States with one edit more."""
+        def of(st: Column) -> Column:
+            one = lambda q: self.state(q + 1, st["s"] + int(wild), [_xor(st[f"a{k}"], self.at(k, t, q), self.at(k, t, st["i"]), *self.hidden(k, t, wild, q)) for k in _HALVES])
+            return self.later(st, one)
+
+        return F.flatten(F.transform(states, of))
+
+
+def _keys(words: Column, edits: int) -> Column:
+    """Keys of a line's variants: ``(h1, h2, s, d)`` with ``s`` wild cards and ``d`` words left out.
+
+    What is used again and again is bound by :func:`let`, so that it is computed once.
+    """
+    shifts = range(edits + 1)
+    placed = lambda codes: F.transform(codes, lambda c, j: F.struct(*(_code(k, j - t, c).alias(_name(k, t)) for t in shifts for k in _HALVES)))
+
+    def variants(p: Column) -> Column:
+        sums, out = _Sums(p), []
+        states = {0: F.array(sums.state(F.lit(0), F.lit(0), [F.lit(0).cast("long")] * 2))}  # by the words left out
+        for level in range(max(1, edits)):
+            grown: dict[int, list[Column]] = {}
+            for t, some in states.items():
+                out.append(sums.as_they_are(some, t))
+                for wild in (True, False) if edits else ():
+                    if level == edits - 1:
+                        out.append(sums.last(some, t, wild))
+                    else:
+                        grown.setdefault(t if wild else t + 1, []).append(sums.more(some, t, wild))
+            states = {t: F.concat(*cs) for t, cs in grown.items()}
+        return F.concat(*out)
+
+    coded = F.transform(words, lambda x: F.xxhash64(x))
+    return let(coded, lambda codes: let(_sums(placed(codes), [_name(k, t) for t in shifts for k in _HALVES]), variants))
+
+
 def _variants(words: DataFrame, edits: int) -> DataFrame:
-    """Keys of lines' variants: ``(ord, h1, h2, s, d)`` with ``s`` wild cards and ``d`` words left out."""
-    hashed = lambda seed, place, word: F.xxhash64(F.lit(seed), place, word)
-
-    def shifted(seed: int, t: int) -> Column:
-        return _sums(F.transform("c", lambda x, j: hashed(seed, j - t, x)))
-
-    sums = [F.array(*(shifted(seed, t) for t in range(edits + 1))).alias(f"p{seed}") for seed in (1, 2)]
-    coded = words.select("ord", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("c"))
-    rows = coded.select("ord", "n", *sums)
-    at = lambda seed, t, i: F.get(F.get(F.col(f"p{seed}"), t), i)
-    wild = lambda seed, place: hashed(seed, place, F.lit(0))
-
-    def state(place: Column, t: Column, s: Column, a: list[Column]) -> Column:
-        return F.struct(place.cast("int").alias("i"), t.cast("int").alias("t"), s.cast("int").alias("s"), a[0].alias("a1"), a[1].alias("a2"))
-
-    def extend(st: Column) -> Column:
-        """All states with one edit more, at a later place."""
-        def one(q: Column) -> Column:
-            upto = [st[f"a{k}"].bitwiseXOR(at(k, st["t"], q)).bitwiseXOR(at(k, st["t"], st["i"])) for k in (1, 2)]
-            hidden = [u.bitwiseXOR(wild(k, q - st["t"])) for k, u in enumerate(upto, 1)]
-            return F.array(state(q + 1, st["t"], st["s"] + 1, hidden), state(q + 1, st["t"] + 1, st["s"], upto))
-
-        return F.when(st["i"] < F.col("n"), F.flatten(F.transform(F.sequence(st["i"], F.col("n") - 1), one)))
-
-    zero = F.lit(0).cast("long")
-    rows = rows.withColumn("v0", F.array(state(F.lit(0), F.lit(0), F.lit(0), [zero, zero])))
-    for k in range(edits):
-        rows = rows.withColumn(f"v{k + 1}", F.flatten(F.array_compact(F.transform(f"v{k}", extend))))
-
-    def key(st: Column) -> Column:
-        rest = [st[f"a{k}"].bitwiseXOR(at(k, st["t"], F.col("n"))).bitwiseXOR(at(k, st["t"], st["i"])) for k in (1, 2)]
-        return F.struct(rest[0].alias("h1"), rest[1].alias("h2"), st["s"].cast("tinyint").alias("s"), st["t"].cast("tinyint").alias("d"))
-
-    # Keys are made before they become rows, so that a row carries no sums.
-    whole = rows.withColumn("v", F.concat(*(f"v{k}" for k in range(edits + 1)))).select("ord", F.transform("v", key).alias("v"))
-    return whole.select("ord", F.explode("v").alias("v")).select("ord", "v.*")
+    """Keys of lines' variants, one a row: ``(ord, h1, h2, s, d)``. They are made before they become rows, so that a row carries no sums."""
+    return words.select("ord", F.explode(_keys(F.col("w"), edits)).alias("v")).select("ord", "v.*")
 
 
 def near_repeats(words: DataFrame, root: str, edits: int = EDITS) -> DataFrame:

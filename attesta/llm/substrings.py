@@ -269,9 +269,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     place = F.col("vp").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     own = index.groupBy("uid", F.shiftright("vp", 32).cast("int").alias("v"), "anchor").agg(F.collect_set(place).alias("places"))
     shared = index.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.col("n").cast("int").alias("n"))
+    shared = materialise(shared, f"{root}/shared")
     listed = own.join(shared, "anchor").select("uid", "v", F.explode("places").alias("place"), "n")
     blocks = materialise(listed.groupBy("uid", "v").agg(F.collect_list(F.struct("place", "n")).alias("x")).select("uid", "v", F.col("x.place").alias("places"), F.col("x.n").alias("times")), f"{root}/blocks")
     remove(spark, f"{root}/index")
+    remove(spark, f"{root}/shared")
     release_shuffles(spark)
     factors = materialise(_factor(numbered.select("uid", "v", "text").join(blocks, ["uid", "v"]), window, gram), f"{root}/factors")
     remove(spark, f"{root}/blocks")
