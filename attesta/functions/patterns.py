@@ -25,6 +25,7 @@ ROMAN_SUBPART = r"^\(?[ivx]{1,4}\)\s"
 PART_LABEL = r"^\(?([a-z]|[ivx]{1,4})\)\s"
 MARKS = r"(?i)[\[(]\s*(\d+(?:\.\d+)?)\s*marks?\s*[\])]"
 ANSWER_HINT = r"(?i)^(Ans(?:wer)?\s*[:.-])"
+ANSWER_START = r"^Ans(?:wer)?\s*[:.-]"
 SOLUTION_NOTE = r"(?i)other questions|remaining questions|straightforward|left (?:as an? )?exercise|not (?:covered|provided)"
 KEY_ONLY = r"^\(?([A-E])\)?\.?$|^\(([A-E])\)(?=\s)"
 KEY_TEXT = r"(?i)^The correct answers? (?:is|are)\s*:\s*"
@@ -37,6 +38,7 @@ MATH_TOKEN = r"\\[()\[\]]"
 DOLLAR_MATH = r"\$[^$\s][^$]*\\[a-zA-Z]+[^$]*\$"
 MACRO_NAME = r"^\\[A-Za-z]+$"
 DOTTED_FUNCTION = r"(?<![\w.])([A-Z]+(?:\.[A-Z0-9]+)+)\("
+TICK_LABEL = r"[\d.,:%$-]{1,6}"
 SIGNED_NUMBER = r"[-\u2212]?\d[\d,]*(?:\.\d+)?"
 BOLD_FONT = r"(?i)bold|black|heavy|semibold|demi|,b$"
 ITALIC_FONT = r"(?i)italic|oblique|,i$"
@@ -44,6 +46,13 @@ ITALIC_FONT = r"(?i)italic|oblique|,i$"
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp", "heic")
 OFFICE_SUFFIXES = ("pptx", "ppt", "docx", "doc", "odt", "odp", "rtf")
 SHEET_SUFFIXES = ("xlsx", "xlsm", "xls")
+#: Sections that may be chosen, and their other names.
+SECTION_NAMES = {
+    "concepts": ("concepts", "concept", "notes", "theory"),
+    "questions": ("questions", "question", "quiz", "bank", "mcq", "mcqs"),
+    "papers": ("papers", "paper", "pyq", "pyqs", "past", "past-papers"),
+    "reference": ("reference", "guide", "cheatsheet", "cheat-sheet", "quick-reference"),
+}
 BLOCK_TYPES = ("h", "p", "list", "steps", "defs", "table", "box", "fig", "pre", "flow", "cpm", "chart", "gantt", "ex")
 DRAWN_TYPES = ("fig", "flow", "chart", "gantt", "cpm")
 DIFFICULTIES = ("E", "M", "H")

@@ -6,7 +6,7 @@ within a page, which has a few hundred of either.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attesta.operators.layout import contained
 
@@ -38,15 +38,58 @@ def choice_marks(shapes: DataFrame, page: list[str]) -> DataFrame:
     return own.join(filled, [*page, "i"], "left").select(*page, "i", *BOX, F.coalesce("selected", F.lit(False)).alias("selected"))
 
 
-def option_words(words: DataFrame, marks: DataFrame, page: list[str]) -> DataFrame:
-    """Words of each option: those right of a mark on its line, up to the next mark there; ``words`` has ``line``, ``marks`` has ``i``."""
+def _marked_lines(words: DataFrame, marks: DataFrame, page: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Boxes of lines, and the marks on each: ``page, line, i, mx, from, until, solo``."""
     lines = words.groupBy(*page, "line").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.min("x0").alias("left"), F.max("x1").alias("right"))
     middle = (F.col("top") + F.col("bottom")) / 2
     at = lines.alias("l").join(marks.alias("m"), _same_page(page, "l", "m") & (middle >= F.col("m.y0") - 3) & (middle <= F.col("m.y1") + 3) & (F.col("m.x0") < F.col("l.right")) & (F.col("m.x1") > F.col("l.left") - 18))
     row = at.select(*(F.col(f"l.{k}").alias(k) for k in page), "line", "i", F.col("m.x1").alias("from"), F.col("m.x0").alias("mx"))
-    row = row.withColumn("until", F.coalesce(F.lead("mx").over(Window.partitionBy(*page, "line").orderBy("mx")), F.lit(1e9)))
+    order = Window.partitionBy(*page, "line")
+    return lines, row.withColumn("until", F.coalesce(F.lead("mx").over(order.orderBy("mx")), F.lit(1e9))).withColumn("solo", F.count("*").over(order) == 1)
+
+
+def _text() -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
+
+
+def option_words(words: DataFrame, marks: DataFrame, page: list[str]) -> DataFrame:
+    """Words of each option: those right of a mark on its line, up to the next mark there; ``words`` has ``line``, ``marks`` has ``i``."""
+    row = _marked_lines(words, marks, page)[1]
+    found = words.join(row, [*page, "line"]).where((F.col("x0") >= F.col("from") - 1) & (F.col("x0") < F.col("until")))
+    return found.groupBy(*page, "line", "i").agg(_text().alias("text"))
+
+
+def option_lines(words: DataFrame, marks: DataFrame, page: list[str]) -> DataFrame:
+    """Lines of a page with each option on its own: ``page, place, opt, text``.
+
+    Words before a line's first mark are a line of their own. A line without
+    marks that goes on below an option that is alone on its line, at its left
+    edge and close to it, belongs to that option.
+    """
+    lines, row = _marked_lines(words, marks, page)
+    first = row.groupBy(*page, "line").agg(F.min(F.struct("mx", "from"))["from"].alias("lead"))
+    known = words.join(first, [*page, "line"], "left")
+    size = [F.min("x0").alias("x0"), F.max("y0").alias("last_top"), _text().alias("text")]
+    plain = known.where("lead is null").groupBy(*page, "line").agg(*size).withColumn("part", F.lit(-1.0)).withColumn("opt", F.lit(False)).withColumn("solo", F.lit(False))
+    lead = known.where(F.col("x1") <= F.col("lead") - 1).groupBy(*page, "line").agg(*size).withColumn("part", F.lit(-1.0)).withColumn("opt", F.lit(False)).withColumn("solo", F.lit(False))
     found = words.join(row, [*page, "line"]).where((F.col("x0") >= F.col("from") - 1) & (F.col("x0") < F.col("until")))
-    return found.groupBy(*page, "line", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ").alias("text"))
+    options = found.groupBy(*page, "line", F.col("mx").alias("part"), "solo").agg(*size).withColumn("opt", F.lit(True))
+    pieces = plain.withColumn("plain", F.lit(True)).unionByName(lead.withColumn("plain", F.lit(False))).unionByName(options.withColumn("plain", F.lit(False)))
+    pieces = pieces.join(lines, [*page, "line"])
+    fields = ["top", "line", "part", "x0", "bottom", "plain", "opt", "solo", "text"]
+    pages = pieces.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("open"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"), F.array().cast("array<int>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        joins = s["plain"] & a["open"] & (F.abs(s["x0"] - a["x0"]) < 3) & (s["top"] - a["bottom"] < (a["bottom"] - a["top"]) * 1.2)
+        n = F.when(joins, a["n"]).otherwise(a["n"] + 1)
+        return F.struct(
+            n.alias("n"), (joins | (s["opt"] & s["solo"])).alias("open"), F.when(joins, a["x0"]).otherwise(s["x0"]).alias("x0"),
+            F.when(joins, a["top"]).otherwise(s["top"]).alias("top"), s["bottom"].alias("bottom"), F.concat(a["out"], F.array(n)).alias("out"))
+
+    placed = pages.select(*page, "s", F.aggregate("s", start, step)["out"].alias("t")).select(*page, F.posexplode(F.arrays_zip("s", "t")).alias("k", "x"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col("x.s.text").alias("text")))), lambda x: x["text"]), " ")
+    return placed.groupBy(*page, F.col("x.t").alias("place")).agg(F.max("x.s.opt").alias("opt"), joined.alias("text"))
 
 
 def entry_boxes(shapes: DataFrame, words: DataFrame, tables: DataFrame, page: list[str]) -> DataFrame:
@@ -79,10 +122,25 @@ def raised_text(words: DataFrame, page: list[str]) -> DataFrame:
     return pairs.groupBy(*(F.col(f"s.{k}").alias(k) for k in page), F.col("s.line").alias("line")).agg(F.min("o.line").alias("host"))
 
 
-def grow(box: tuple[float, float, float, float], labels: list[tuple[float, float, float, float]], gap: float = 12) -> tuple[float, float, float, float]:
-    """A figure's box grown over every label near it, and near what it has grown to."""
-    left = list(labels)
-    while near := [b for b in left if b[0] <= box[2] + gap and b[2] >= box[0] - gap and b[1] <= box[3] + gap and b[3] >= box[1] - gap]:
-        box = tuple(f(x) for f, x in zip((min, min, max, max), zip(box, *near, strict=True), strict=True))
-        left = [b for b in left if b not in near]
-    return box
+def merge_raised(words: DataFrame, page: list[str]) -> DataFrame:
+    """Words with small raised or lowered ones back in their lines: ``page, line, x0, text``, one row a word.
+
+    A small word within a wider one goes into it before the first character
+    right of its left edge, where ``words`` has ``chars`` (an array of left
+    edges); others stand between words by their left edge.
+    """
+    small = raised_text(words, page)
+    own = words.join(small.select(*page, "line").distinct(), [*page, "line"], "left_anti")
+    moved = words.join(small, [*page, "line"]).select(*page, F.col("host").alias("line"), "x0", "text")
+    if "chars" not in words.columns:
+        return own.select(*page, "line", "x0", "text").unionByName(moved)
+    s, o = moved.alias("s"), own.alias("o")
+    into = _same_page(page, "s", "o") & (F.col("s.line") == F.col("o.line")) & (F.col("o.x0") < F.col("s.x0")) & (F.col("s.x0") < F.col("o.x1") - 0.5) & (F.size("o.chars") > 0)
+    inner = s.join(o, into).select(*(F.col(f"o.{c}").alias(c) for c in (*page, "line", "x0", "text", "chars")), F.col("s.x0").alias("sx"), F.col("s.text").alias("st"))
+    place = F.size(F.filter("chars", lambda c: c < F.col("sx") - 0.5))
+    grouped = inner.withColumn("at", place).groupBy(*page, "line", "x0", "text").agg(F.sort_array(F.collect_list(F.struct("at", "sx", "st")), asc=False).alias("in"))
+    put = F.aggregate("in", F.col("text"), lambda t, i: F.concat(F.substring(t, F.lit(1), i["at"]), i["st"], F.substring(t, i["at"] + 1, F.length(t))))
+    filled = grouped.select(*page, "line", "x0", put.alias("text"))
+    free = moved.join(inner.select(*page, "line", F.col("sx").alias("x0")).distinct(), [*page, "line", "x0"], "left_anti")
+    rest = own.select(*page, "line", "x0", "text").join(grouped.select(*page, "line", "x0", "text"), [*page, "line", "x0", "text"], "left_anti")
+    return rest.unionByName(filled).unionByName(free)

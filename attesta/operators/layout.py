@@ -108,20 +108,30 @@ def style_runs(words: DataFrame, line: list[str]) -> DataFrame:
     return texts.groupBy(*line).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "t"))), lambda x: x["t"]), "").alias("text"))
 
 
-def join_wrapped(lines: DataFrame, keys: list[str], order: str, text: str = "text", short: str | None = None) -> DataFrame:
+def join_wrapped(lines: DataFrame, keys: list[str], order: str, text: str = "text", short: str | None = None, head: bool = False) -> DataFrame:
     """Printed lines as one text: real breaks kept, wrapped lines joined by a space.
 
     A line breaks after one that ends short (by geometry, or under 0.72 of the
-    longest), after a colon or bold end, and before sub-parts, options, answer
-    hints and bold text.
+    longest), after a colon or bold end, after the first one of a heading, and
+    before sub-parts, options, answer hints and bold text. Stretches that begin
+    with an answer hint are marked.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     cur, prev = F.trim(text), F.lag(F.rtrim(text)).over(w)
     longest = F.max(F.length(text)).over(Window.partitionBy(*keys))
     ends_short = F.lag(short).over(w) if short else F.length(prev) < longest * 0.72
-    hard = cur.rlike(P.SUBPART) | cur.rlike(P.OPTION) | cur.rlike(P.ANSWER_HINT) | cur.startswith("**") | prev.endswith(":") | prev.endswith("**") | F.coalesce(ends_short, F.lit(False))
+    after_first = F.row_number().over(w) == 2
+    hard = cur.rlike(P.SUBPART) | cur.rlike(P.OPTION) | cur.rlike(P.ANSWER_HINT) | cur.startswith("**") | prev.endswith(":") | prev.endswith("**") | F.coalesce(ends_short, F.lit(False)) | (F.lit(head) & after_first)
     rows = lines.select(*keys, order, F.concat(F.when(prev.isNull(), "").when(hard, "<br>").otherwise(" "), cur).alias("piece"))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "piece"))), lambda x: x["piece"]), "").alias("text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "piece"))), lambda x: x["piece"]), "")
+    marked = F.transform(F.split(F.col("text"), "<br>"), lambda x: F.when(x.rlike(P.ANSWER_START), F.concat(F.lit("<b class='ans'>"), x, F.lit("</b>"))).otherwise(x))
+    return rows.groupBy(*keys).agg(whole.alias("text")).select(*keys, F.array_join(marked, "<br>").alias("text"))
+
+
+def reading_order(segments: DataFrame, page: list[str], order: str | None = None) -> DataFrame:
+    """Segments with their ``place`` on the page: by column order where there is one, then from the top, then from the left."""
+    by = [F.col(order).asc_nulls_last()] if order else []
+    return segments.withColumn("place", F.row_number().over(Window.partitionBy(*page).orderBy(*by, "y0", "x0")))
 
 
 def group_words(tolerance: float = 3.0):
@@ -170,3 +180,32 @@ def cluster_pages(boxes: DataFrame, page: list[str], gap: float = 12) -> DataFra
         return pd.DataFrame([(*(frame[k].iloc[0] for k in page), *hull, n) for hull, n in found], columns=[*page, "x0", "y0", "x1", "y1", "n"])
 
     return boxes.groupBy(*page).applyInPandas(run, schema)
+
+
+def grow_box(box: tuple[float, ...], words: list[tuple]) -> tuple[float, ...]:
+    """A figure's box grown over its labels: words level with it, and short numbers just above or below; ``words``: box and whether a number."""
+    left = list(words)
+    while True:
+        x0, y0, x1, y1 = box
+        level = lambda w: w[1] >= y0 - 2 and w[3] <= y1 + 2 and w[0] <= x1 + 60 and w[2] >= x0 - 60
+        tick = lambda w: w[4] and w[0] >= x0 - 20 and w[2] <= x1 + 20 and w[1] - y1 < 14 and y0 - w[3] < 14
+        within = lambda w: w[0] >= x0 - 1.5 and w[2] <= x1 + 1.5 and w[1] >= y0 - 1.5 and w[3] <= y1 + 1.5
+        near = [w for w in left if not within(w) and (level(w) or tick(w))]
+        if not near:
+            return box
+        box = (min(x0, *(w[0] for w in near)), min(y0, *(w[1] for w in near)), max(x1, *(w[2] for w in near)), max(y1, *(w[3] for w in near)))
+
+
+def grow_figures(figures: DataFrame, words: DataFrame, page: list[str]) -> DataFrame:
+    """Figures ``(page, id, x0, y0, x1, y1)`` grown over the words that label them; a page is one small group."""
+    kinds = dict(figures.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*page, "id"]) + ", x0 double, y0 double, x1 double, y1 double"
+    sides = ["x0", "y0", "x1", "y1"]
+
+    def run(some: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        around = list(zip(*(labels[c] for c in sides), labels["text"].str.fullmatch(P.TICK_LABEL), strict=True)) if len(labels) else []
+        rows = [(*(r[k] for k in [*page, "id"]), *grow_box(tuple(r[c] for c in sides), around)) for _, r in some.iterrows()]
+        return pd.DataFrame(rows, columns=[*page, "id", *sides])
+
+    labels = words.select(*(F.col(c).alias(f"_{c}") for c in (*page, *sides, "text"))).toDF(*page, *sides, "text")  # columns of their own beside the figures'
+    return figures.groupBy(*page).cogroup(labels.groupBy(*page)).applyInPandas(run, schema)

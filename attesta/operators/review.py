@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ast
 import difflib
-import json
 import math
 import operator
 import re
@@ -15,14 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attesta.functions import patterns as P
 from attesta.functions.text import slug
-
-#: Other names of the sections that may be chosen.
-SECTION_NAMES = {
-    "concepts": ("concepts", "concept", "notes", "theory"),
-    "questions": ("questions", "question", "quiz", "bank", "mcq", "mcqs"),
-    "papers": ("papers", "paper", "pyq", "pyqs", "past", "past-papers"),
-    "reference": ("reference", "guide", "cheatsheet", "cheat-sheet", "quick-reference"),
-}
+from attesta.session import materialise, scratch_dir
 
 
 def changed_lines(edited: DataFrame, raw: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -108,34 +100,33 @@ def unique_ids(rows: DataFrame, name: str, order: str, taken: DataFrame | None =
     return ranked.join(dealt, ["_base", "_r"]).drop("_base", "_r")
 
 
-def strings_of(value: object, path: str = "") -> Iterator[tuple[str, str]]:
-    """Every string of a JSON value and its path; private fields and sources are left out."""
-    if isinstance(value, str):
-        yield path, value
-    elif isinstance(value, list):
-        for i, x in enumerate(value):
-            yield from strings_of(x, f"{path}[{i}]")
-    elif isinstance(value, dict):
-        for k, x in value.items():
-            if not k.startswith("_") and k not in ("src", "e_src"):
-                yield from strings_of(x, f"{path}.{k}" if path else k)
+#: Fields that are private besides those that begin with an underscore; how deep records may be nested.
+_PRIVATE, DEEPEST = ("src", "e_src"), 24
 
 
 def flatten_json(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """``(key, path, text)`` of all strings in JSON of any depth; text that is no JSON gives none."""
-    kind = dict(rows.dtypes)[key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    out += [(i, p, s) for p, s in strings_of(json.loads(text or "null"))]
-                except ValueError:
-                    continue
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], batch.schema.field(0).type), *(pa.array([o[k] for o in out], pa.string()) for k in (1, 2))], [key, "path", "text"])
+    """``(key, path, text)`` of all strings in JSON, but for private fields; text that is no JSON gives none.
 
-    return rows.select(key, column).mapInArrow(run, f"{key} {kind}, path string, text string")
+    Each round opens one more level of all records at once, until none is
+    left; records nested deeper than ``DEEPEST`` raise.
+    """
+    level = rows.select(key, F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v is not null")
+    out, root = None, scratch_dir(rows.sparkSession)
+    for depth in range(DEEPEST + 1):
+        level = materialise(level.select(key, "path", F.to_json("v").alias("j")), f"{root}/{depth}").select(key, "path", F.parse_json("j").alias("v"))
+        kind = F.schema_of_variant("v")
+        strings = level.where(kind == "STRING").select(key, "path", F.try_variant_get("v", "$", "string").alias("text"))
+        out = strings if out is None else out.unionByName(strings)
+        if depth == DEEPEST and level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY")).limit(1).count():
+            raise ValueError("records are nested too deeply")
+        nested = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        if not nested.limit(1).count():
+            return out
+        nested.createOrReplaceTempView("_attesta_level")
+        opened = nested.sparkSession.sql(f"SELECT l.`{key}`, l.path, e.pos, e.key AS name, e.value AS v FROM _attesta_level l, LATERAL variant_explode(l.v) e")
+        step = F.when(F.col("name").isNull(), F.concat("path", F.lit("["), "pos", F.lit("]"))).when(F.col("path") == "", F.col("name")).otherwise(F.concat("path", F.lit("."), "name"))
+        level = opened.where(F.col("name").isNull() | ~(F.col("name").startswith("_") | F.col("name").isin(*_PRIVATE))).select(key, step.alias("path"), "v")
+    return out
 
 
 def where_of(path: Column) -> Column:
@@ -152,10 +143,10 @@ def bad_macros(macros: Column | str) -> Column:
 
 def chosen_sections(text: str) -> list[str]:
     """Sections by any of their names, in the order given, each once; an unknown one raises."""
-    known = {alias: name for name, aliases in SECTION_NAMES.items() for alias in aliases}
+    known = {alias: name for name, aliases in P.SECTION_NAMES.items() for alias in aliases}
     words = [w for w in re.split(r"[,\s]+", text.strip().lower()) if w]
     if unknown := [w for w in words if w not in known]:
-        raise ValueError(f"unknown sections {unknown}; there are {', '.join(SECTION_NAMES)}")
+        raise ValueError(f"unknown sections {unknown}; there are {', '.join(P.SECTION_NAMES)}")
     return list(dict.fromkeys(known[w] for w in words))
 
 

@@ -80,6 +80,46 @@ def answer_checks(calcs: DataFrame) -> DataFrame:
     return calcs.select("id", "value", expected.alias("expected"), verdict.alias("verdict"))
 
 
+def working_checks(calcs: DataFrame) -> DataFrame:
+    """``(id, row, rule, severity)``: faults of workings and verdicts on each of their answer rows.
+
+    ``calcs``: id, labels and ``widths`` (cells) of the rows, ``values`` (text of what
+    each row gives), ``answer`` (labels or numbers of rows; null is the last), tol,
+    expect and num (arrays), option_number, official (array) and dispute.
+    """
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    n = F.size("labels")
+    rows = calcs.withColumn("wanted", F.when(F.col("answer").isNull(), F.array(n.cast("string"))).otherwise(F.col("answer")))
+    number = lambda x: x.try_cast("int")
+    at = F.transform("wanted", lambda x: F.when(number(x).between(1, n), number(x)).otherwise(F.nullif(F.array_position("labels", x), F.lit(0)).cast("int")))
+    rows = rows.withColumn("at", at).withColumn("found", F.array_compact("at"))
+    expected = F.coalesce("expect", "num", F.when(F.col("option_number").isNotNull(), F.array("option_number")))
+    rows = rows.withColumn("expected", expected).withColumn("even", F.col("expected").isNull() | (F.size("expected") == F.size("found")))
+    said = lambda some, row, rule, severity="error": some.select("id", row.cast("int").alias("row"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))
+    empty = rows.where(n == 0)
+    rows = rows.where(n > 0)
+    shape = rows.select("id", F.posexplode("widths").alias("i", "w")).where("w <> 2")
+    lost = rows.select("id", F.posexplode("at").alias("i", "r")).where("r is null")
+    errors = rows.select("id", F.posexplode("values").alias("i", "v")).where(F.col("v").startswith("#") | F.col("v").startswith("Err"))
+    each = rows.where("even").select("id", "values", "expected", F.coalesce("official", none("double")).alias("official"), F.coalesce("tol", F.lit(0.005)).alias("tol"), "dispute", F.posexplode("found").alias("j", "r"))
+    each = each.withColumn("v", F.replace(F.get("values", F.col("r") - 1), F.lit(","), F.lit("")).try_cast("double")).withColumn("e", F.get("expected", F.col("j")))
+    unknown = each.where(F.col("v").isNull() & F.get("values", F.lit(0)).isNotNull())
+    near = lambda e: (F.abs(F.col("v") - e) <= F.greatest(F.col("tol") * F.abs(e), F.lit(1e-9))) | (F.abs(F.col("v") * 100 - e) <= F.greatest(F.col("tol") * F.abs(e), F.lit(1e-9)))
+    agrees = F.exists("official", lambda o: F.coalesce(near(o), F.lit(False)))
+    verdict = (
+        F.when(F.col("expected").isNotNull(), F.when(F.coalesce(near(F.col("e")), F.lit(False)), "proven").otherwise("differs from what is expected"))
+        .when(F.size("official") > 0, F.when(agrees, "proven").when(F.col("dispute").isNotNull(), "disputed").otherwise("not in the official solution"))
+        .otherwise("nothing to check against")
+    )
+    judged = each.where("v is not null").withColumn("verdict", verdict)
+    severity = F.when(F.col("verdict") == "proven", "proven").when(F.col("verdict").isin("disputed", "nothing to check against"), "warning").otherwise("error")
+    parts = [
+        said(empty, F.lit(None), "no rows"), said(shape, F.col("i") + 1, "row is no label and value"), said(lost, F.col("i") + 1, "answer names no row"), said(errors, F.col("i") + 1, "row gives an error"),
+        said(rows.where("not even"), F.lit(None), "answers and expected values differ in number"), said(unknown, F.col("r"), "row has no number"),
+        judged.select("id", F.col("r").cast("int").alias("row"), F.col("verdict").alias("rule"), severity.alias("severity"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def risk_scores(findings: DataFrame, reasons: DataFrame, key: list[str], weights: dict[str, float], default: float = 0.0, match_weight: float = 3.0) -> DataFrame:
     """Ten for each error, and each distinct reason's weight once."""
     table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
@@ -95,9 +135,14 @@ def first_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def first_errors(findings: DataFrame, n: int = 25) -> DataFrame:
+    """The first errors, by rule, subject and detail."""
+    return first_rows(findings.where("severity = 'error'"), n, F.col("rule"), F.col("subject"), F.col("detail"))
+
+
 def gate(findings: DataFrame) -> None:
     """Raise before anything is written if any finding is an error; the first 25 are named."""
-    some = findings.where("severity = 'error'").limit(26).collect()
+    some = first_errors(findings, 26).collect()
     if some:
         names = [f"{r['rule']}: {r['subject']} {r['detail'] or ''}".strip() for r in some[:25]]
         raise ValueError("; ".join(names) + ("; and more" if len(some) > 25 else ""))

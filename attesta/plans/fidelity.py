@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from attesta.functions import patterns as P, text as T
 from attesta.operators import containment, coverage, multiset, validate
@@ -78,14 +79,14 @@ def _finding(rows: DataFrame, rule: str, detail: Column, severity: str = "error"
     return rows.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "paper", "n", detail.cast("string").alias("detail"))
 
 
-def _spans(items: DataFrame, lines: DataFrame, lo: str, hi: str, source: str, labels: bool) -> DataFrame:
+def _spans(items: DataFrame, lines: DataFrame, lo: str, hi: str, source: str, labels: bool, exact: bool) -> DataFrame:
     """Tokens and numbers of each item's source span, option labels left out of choice questions."""
     spans = items.where(F.col(lo).isNotNull()).select("paper", "n", F.col(source).alias("doc_id"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), (has_options() | F.exists(_list("parts", f"array<{PART}>"), lambda p: F.size(_list(p["o"])) > 0)).alias("mcq"))
     rows = markup.line_span(lines, spans)
     text = F.when(F.col("mcq"), T.unlabelled("text")).otherwise(F.col("text")) if labels else F.col("text")
     if not labels:
         rows = rows.where(~F.col("text").rlike(P.SOLUTION_NOTE))
-    found = rows.select("paper", "n", "no", T.tokens(text).alias("t")).groupBy("paper", "n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "t"))), lambda x: x["t"])).alias("span"))
+    found = rows.select("paper", "n", "no", T.tokens(text, exact).alias("t")).groupBy("paper", "n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "t"))), lambda x: x["t"])).alias("span"))
     return found
 
 
@@ -96,38 +97,53 @@ def _number_findings(pairs: DataFrame, rule: str) -> DataFrame:
     return _finding(diff, rule, F.concat_ws(" ", F.when(F.col("missing") > 0, F.concat(F.lit("missing "), "value")), F.when(F.col("extra") > 0, F.concat(F.lit("not in source "), "value"))))
 
 
-def check_papers(items: DataFrame, lines: DataFrame, threshold: float = P.PRECISION_ERROR) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(findings, scores, reasons)`` of all papers; each a table keyed by paper and n."""
-    source = source_tokens(lines)
+def _within(scores: DataFrame, least: DataFrame | None, threshold: float) -> DataFrame:
+    """Scores with ``least``: what the paper asks for itself, else the threshold."""
+    if least is None:
+        return scores.withColumn("least", F.lit(threshold))
+    return scores.join(least.select("paper", F.col("verbatim_min").alias("own_least")), "paper", "left").withColumn("least", F.coalesce("own_least", F.lit(threshold))).drop("own_least")
+
+
+def check_papers(items: DataFrame, lines: DataFrame, threshold: float = P.PRECISION_ERROR, least: DataFrame | None = None, solutions: DataFrame | None = None, exact: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(findings, scores, reasons)`` of all papers; each a table keyed by paper and n.
+
+    ``least`` (paper, verbatim_min) overrides the threshold for a paper;
+    ``solutions`` (paper, source, place) are the solution sheets of papers in
+    order: an official solution whose sheet isn't among them is compared with
+    the first. ``exact=False`` stays in the JVM where texts have neither
+    entities nor characters that are composed.
+    """
+    source = source_tokens(lines, exact)
     vocabulary = source.select("source", F.explode(F.array_distinct("tokens")).alias("word"))
     seg = items.select("paper", "source", "n", F.explode(segments()).alias("text"))
-    own = items.select("paper", "source", "n", T.tokens(F.array_join(segments(), " ")).alias("own"))
-    scores = containment.segment_precision(seg, source, ["source", "paper", "n"], "source")
-    found = [_finding(scores.where(F.col("precision") < threshold), "precision", F.col("precision"))]
+    own = items.select("paper", "source", "n", T.tokens(F.array_join(segments(), " "), exact).alias("own"))
+    scores = _within(containment.segment_precision(seg, source, ["source", "paper", "n"], "source", exact=exact), least, threshold)
+    low = F.col("precision") < F.col("least")
+    found = [_finding(scores.where(low), "precision", F.col("precision"))]
 
     options = option_sets(items)
-    by_option = containment.segment_precision(options, source, ["source", "paper", "n", "place", "k"], "source")
-    found.append(_finding(by_option.where(F.col("precision") < threshold), "option", F.concat_ws(" ", F.nullif("place", F.lit("")), F.lit("option"), F.col("k") + 1)))
+    by_option = _within(containment.segment_precision(options, source, ["source", "paper", "n", "place", "k"], "source", exact=exact), least, threshold)
+    found.append(_finding(by_option.where(low), "option", F.concat_ws(" ", F.nullif("place", F.lit("")), F.lit("option"), F.col("k") + 1)))
 
     tables = all_media(items).where("b.t = 'table'")
     cells = tables.select("paper", "source", "n", F.explode(F.concat(_list("b.head"), F.flatten(_list("b.rows", "array<array<string>>")))).alias("text"))
-    words = cells.select("paper", "source", "n", F.explode(T.tokens("text")).alias("word"))
+    words = cells.select("paper", "source", "n", F.explode(T.tokens("text", exact)).alias("word"))
     found.append(_finding(words.join(vocabulary, ["source", "word"], "left_anti"), "table cell", F.col("word")))
 
-    span = _spans(items, lines, "lo", "hi", "source", True).join(own, ["paper", "n"])
+    span = _spans(items, lines, "lo", "hi", "source", True, exact).join(own, ["paper", "n"])
     found.append(_finding(coverage.uncovered_runs(span.select("paper", "n", "span", "own"), ["paper", "n"], "span", "own"), "missing from the item", F.col("context")))
     found.append(_number_findings(span, "numbers differ"))
     found.append(_objects(items, lines))
 
     parts = items.select("paper", "source", "n", F.posexplode(_list("parts", f"array<{PART}>")).alias("k", "p"))
     keys = parts.where(F.coalesce("p.official", F.lit("")) != "").select("paper", "source", "n", "k", F.col("p.official").alias("text"))
-    key_scores = containment.segment_precision(keys, source, ["source", "paper", "n", "k"], "source")
-    found.append(_finding(key_scores.where(F.col("precision") < threshold), "printed key", F.col("k") + 1))
-    found += _official(items, lines, source, threshold)
-    found.append(_whole_papers(items, lines, own))
+    key_scores = _within(containment.segment_precision(keys, source, ["source", "paper", "n", "k"], "source", exact=exact), least, threshold)
+    found.append(_finding(key_scores.where(low), "printed key", F.col("k") + 1))
+    found += _official(items, lines, source, threshold, least, solutions, exact)
+    found.append(_whole_papers(items, lines, own, exact))
     found.append(_finding(items.select("paper", "n", F.explode(_list("checks")).alias("c")), "unconfirmed", F.col("c")))
     found.append(_answers(items, parts))
-    reasons = _reasons(items, scores, threshold)
+    reasons = _reasons(items, lines, scores)
     return reduce(DataFrame.unionByName, found), scores.select("paper", "n", "precision"), reasons
 
 
@@ -146,48 +162,63 @@ def _objects(items: DataFrame, lines: DataFrame) -> DataFrame:
     return _finding(tables, "table not shown", F.col("t")).unionByName(_finding(figures, "figure not shown", F.col("t")))
 
 
-def _official(items: DataFrame, lines: DataFrame, source: DataFrame, threshold: float) -> list[DataFrame]:
-    """Official solutions against the source they come from; a printed leading number is no text of theirs."""
-    rows = items.where(F.coalesce("official", F.lit("")) != "").withColumn("e_source", F.coalesce("e_source", "source"))
+def _official(items: DataFrame, lines: DataFrame, source: DataFrame, threshold: float, least: DataFrame | None, solutions: DataFrame | None, exact: bool) -> list[DataFrame]:
+    """Official solutions against the source they come from; a printed leading number is no text of theirs.
+
+    The source is the sheet that is named, else the paper itself where none or the paper is
+    named, else the paper's first sheet.
+    """
+    rows = items.where(F.coalesce("official", F.lit("")) != "")
+    if solutions is not None:
+        sheets = solutions.groupBy("paper").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source"))), lambda x: x["source"]).alias("sheets"))
+        named = F.when(F.array_contains(_list("sheets"), F.col("e_source")), F.col("e_source"))
+        itself = F.when(F.col("e_source").isNull() | (F.col("e_source") == F.col("source")), F.col("source"))
+        rows = rows.join(sheets, "paper", "left").withColumn("e_source", F.coalesce(named, itself, F.get(_list("sheets"), 0), "e_source"))
+    rows = rows.withColumn("e_source", F.coalesce("e_source", "source"))
     known = rows.join(source.select(F.col("source").alias("e_source")), "e_source", "left_semi")
     lost = rows.join(source.select(F.col("source").alias("e_source")), "e_source", "left_anti")
     own = F.filter(_list("emedia", MEDIA), lambda b: b["src_id"].isNotNull() & (b["t"] == "table"))
     printed = F.concat(F.array("official"), F.flatten(F.transform(own, lambda b: F.concat(F.array(F.array_join(_list(b["head"]), " ")), F.transform(_list(b["rows"], "array<array<string>>"), lambda r: F.array_join(r, " "))))))
     seg = known.select("paper", "n", F.col("e_source").alias("source"), F.explode(printed).alias("text"))
-    low = containment.segment_precision(seg, source, ["source", "paper", "n"], "source").where(F.col("precision") < threshold)
-    span = _spans(known, lines, "e_lo", "e_hi", "e_source", False)
+    low = _within(containment.segment_precision(seg, source, ["source", "paper", "n"], "source", exact=exact), least, threshold).where(F.col("precision") < F.col("least"))
+    span = _spans(known, lines, "e_lo", "e_hi", "e_source", False, exact)
     lead = F.get("span", 0).rlike(r"^\d")
     span = span.withColumn("span", F.when(F.coalesce(lead, F.lit(False)), F.slice("span", 2, F.size("span"))).otherwise(F.col("span")))
-    pairs = span.join(known.select("paper", "n", T.tokens(F.array_join(printed, " ")).alias("own")), ["paper", "n"])
+    pairs = span.join(known.select("paper", "n", T.tokens(F.array_join(printed, " "), exact).alias("own")), ["paper", "n"])
     return [
         _finding(lost, "no solution source", F.col("e_source")), _finding(low, "official precision", F.col("precision")),
         _finding(coverage.uncovered_runs(pairs, ["paper", "n"], "span", "own"), "missing from the official solution", F.col("context")), _number_findings(pairs, "official numbers differ")]
 
 
-def _whole_papers(items: DataFrame, lines: DataFrame, own: DataFrame) -> DataFrame:
+def _whole_papers(items: DataFrame, lines: DataFrame, own: DataFrame, exact: bool) -> DataFrame:
     """Runs of three words or more of a paper's source that none of its items holds."""
-    printed = items.where(F.coalesce("e_source", "source") == F.col("source")).select("paper", "source", "n", T.tokens(F.coalesce("official", F.lit(""))).alias("t"))
+    printed = items.where(F.coalesce("e_source", "source") == F.col("source")).select("paper", "source", "n", T.tokens(F.coalesce("official", F.lit("")), exact).alias("t"))
     both = own.select("paper", "source", "n", F.lit(0).alias("k"), F.col("own").alias("t")).unionByName(printed.withColumn("k", F.lit(1)))
     covered = both.groupBy("paper", "source").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "k", "t"))), lambda x: x["t"])).alias("item"))
     choice = items.where(has_options() & F.col("lo").isNotNull()).select(F.col("source").alias("doc_id"), "lo", "hi")
     rows = markup.content(lines).where(~F.col("text").rlike(P.SOLUTION_NOTE))
     labelled = markup.line_span(rows, choice).select("doc_id", "no").distinct().withColumn("mcq", F.lit(True))
     text = F.when(F.col("mcq"), T.unlabelled("text")).otherwise(F.col("text"))
-    toks = rows.join(labelled, ["doc_id", "no"], "left").select(F.col("doc_id").alias("source"), "no", T.tokens(text).alias("t"))
+    toks = rows.join(labelled, ["doc_id", "no"], "left").select(F.col("doc_id").alias("source"), "no", T.tokens(text, exact).alias("t"))
     whole = toks.groupBy("source").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "t"))), lambda x: x["t"])).alias("text"))
     runs = coverage.uncovered_runs(covered.join(whole, "source"), ["paper"], "text", "item", least=3, before=2, after=2)
     return _finding(runs.withColumn("n", F.lit(None).cast("int")), "in no item", F.col("context"))
 
 
+#: Explanations shorter than this are worth a look.
+SHORT_EXPLANATION = 60
+
+
 def _answers(items: DataFrame, parts: DataFrame) -> DataFrame:
-    """Answers that are not set or point nowhere, and solutions that are not explained."""
+    """Answers that are not set or point nowhere, options that repeat, and solutions that are not explained or too shortly."""
     def rules(rows: DataFrame, o: Column, a: Column, num: Column, e: Column, sub: Column) -> DataFrame:
         free = sub | num.isNotNull()
+        e = F.coalesce(e, F.lit(""))
+        fault = lambda c, rule, severity="error": F.when(c, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity")))
         faults = F.array_compact(F.array(
-            F.when(F.coalesce(e, F.lit("")) == "", "explanation missing"),
-            F.when(~free & (F.size(o) < 2), "fewer than two options"),
-            F.when(~free & (F.size(o) >= 2) & a.isNull(), "answer not set"),
-            F.when(~free & (F.size(o) >= 2) & ~a.between(0, F.size(o) - 1), "answer out of range")))
+            fault(e == "", "explanation missing"), fault((e != "") & (F.length(e) < SHORT_EXPLANATION), "explanation short", "warning"),
+            fault(~free & (F.size(o) < 2), "fewer than two options"), fault(F.size(F.array_distinct(o)) < F.size(o), "options repeat", "warning"),
+            fault(~free & (F.size(o) >= 2) & a.isNull(), "answer not set"), fault(~free & (F.size(o) >= 2) & ~a.between(0, F.size(o) - 1), "answer out of range")))
         return rows.select("paper", "n", F.explode(faults).alias("f"))
 
     plain = items.where(~F.coalesce("head", F.lit(False)) & (F.size(_list("parts", f"array<{PART}>")) == 0))
@@ -196,17 +227,19 @@ def _answers(items: DataFrame, parts: DataFrame) -> DataFrame:
     offered = F.concat(_list("p.o"), _list("p.choices"))
     more = rules(inner, offered, F.col("p.a"), F.col("p.num"), F.coalesce(F.nullif("p.e", F.lit("")), "whole"), F.size(offered) == 0)
     both = own.unionByName(more)
-    return both.select(F.col("f").alias("rule"), F.lit("error").alias("severity"), "paper", "n", F.lit(None).cast("string").alias("detail"))
+    return both.select("f.rule", "f.severity", "paper", "n", F.lit(None).cast("string").alias("detail"))
 
 
-def _reasons(items: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
-    """Why to look at an item though nothing is wrong with it."""
-    kinds = F.transform(_list("media", MEDIA), lambda b: b["t"])
+def _reasons(items: DataFrame, lines: DataFrame, scores: DataFrame) -> DataFrame:
+    """Why to look at an item though nothing is wrong with it: what its place in the source holds, and how it is made."""
+    spans = items.where("lo is not null").select(F.col("source").alias("doc_id"), F.struct("paper", "n").alias("item"), "lo", "hi")
+    held = markup.objects_in_span(lines, spans).select("item.*", F.array_compact(F.array(F.when(F.size("tables") > 0, "table"), F.when(F.size("figures") > 0, "figure"))).alias("why"))
+    parts = F.size(_list("parts", f"array<{PART}>"))
     why = F.array_compact(F.array(
-        F.when(F.array_contains(kinds, "table"), "table"), F.when(F.arrays_overlap(kinds, F.array(*(F.lit(x) for x in P.DRAWN_TYPES))), "figure"),
-        F.when(F.col("lo").isNull() & ~F.coalesce("head", F.lit(False)), "hand-made item (no source span)"), F.when(F.col("o").isNotNull() & ~F.coalesce("sub", F.lit(False)), "MCQ")))
-    rows = items.select("paper", "n", F.explode(why).alias("reason"))
-    close = scores.where((F.col("precision") >= threshold) & (F.col("precision") < P.PRECISION_RISK)).select("paper", "n", F.lit("text match").alias("reason"))
+        F.when(F.col("lo").isNull() & ~F.coalesce("head", F.lit(False)), "hand-made item (no source span)"), F.when(F.col("o").isNotNull() & ~F.coalesce("sub", F.lit(False)), "MCQ"),
+        F.when(parts > 0, F.concat(parts, F.lit(" sub-parts")))))
+    rows = items.select("paper", "n", F.explode(why).alias("reason")).unionByName(held.select("paper", "n", F.explode("why").alias("reason")))
+    close = scores.where((F.col("precision") >= F.col("least")) & (F.col("precision") < P.PRECISION_RISK)).select("paper", "n", F.lit("text match").alias("reason"))
     return rows.unionByName(close)
 
 
@@ -250,6 +283,24 @@ def paper_counts(items: DataFrame) -> DataFrame:
     return per.groupBy("paper").agg(F.count("*").alias("items"), F.sum("p").alias("parts"), F.sum("m").alias("mcq"), F.sum("d").alias("numeric"), (F.count("*") + F.sum("p") - F.sum("w") - F.sum("m") - F.sum("d")).alias("written"))
 
 
-def without_private(df: DataFrame, names: tuple[str, ...] = ("source", "lo", "hi", "e_source", "e_lo", "e_hi", "checks")) -> DataFrame:
-    """What may be published: no private columns, none that starts with an underscore."""
-    return df.drop(*(c for c in df.columns if c.startswith("_") or c in names))
+PRIVATE = ("source", "lo", "hi", "e_source", "e_lo", "e_hi", "checks", "src_id")
+
+
+def without_private(df: DataFrame, names: tuple[str, ...] = PRIVATE) -> DataFrame:
+    """What may be published: no private fields at any depth, none that starts with an underscore."""
+    private = lambda name: name.startswith("_") or name in names
+
+    def open_(value: Column, kind: DataType) -> Column:
+        if isinstance(kind, ArrayType):
+            return F.transform(value, lambda x: open_(x, kind.elementType))
+        if isinstance(kind, StructType):
+            kept = [open_(value[f.name], f.dataType).alias(f.name) for f in kind.fields if not private(f.name)]
+            return F.when(value.isNotNull(), F.struct(*kept))
+        return value
+
+    return df.select(*(open_(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields if not private(f.name)))
+
+
+def in_sections(df: DataFrame, column: str, chosen: list[str]) -> DataFrame:
+    """Rows of the chosen sections."""
+    return df.where(F.col(column).isin(*chosen))

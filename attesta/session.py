@@ -7,6 +7,8 @@ import os
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,19 +47,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name in HEAVY and df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
+#: Scratch folders that were named and not yet removed, in order.
+_NAMED: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder for written intermediates below the shared checkpoint folder.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (local tests) a temporary one of our own is used.
+    where that is unset in a local session (tests) a temporary one of our own
+    is used. On a cluster without it this raises: executors share no other.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), f"attesta-{os.getuid()}")
         os.makedirs(root, exist_ok=True)
         spark.sparkContext.setCheckpointDir(root)
         root = f"file://{root}"
-    return f"{root.rstrip('/')}/attesta-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/attesta-{uuid.uuid4().hex}"
+    _NAMED.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the scratch folders that were named inside once the block ends; results read from them must be written by then."""
+    before = len(_NAMED)
+    try:
+        yield
+    finally:
+        for path in _NAMED[before:]:
+            remove(spark, path)
+        del _NAMED[before:]
 
 
 def materialise(df: DataFrame, path: str) -> DataFrame:

@@ -100,7 +100,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object or a list of them in each file of a folder, in the order of their paths."""
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("_file", F.col("_metadata.file_path"))
+    return spark.read.schema(schema).json(path, multiLine=True).withColumn("_file", F.col("_metadata.file_path")).orderBy("_file")
 
 
 def route(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -108,28 +108,77 @@ def route(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.withColumn("kind", suffix_kind(path))
 
 
-def sheet_rows(batches):
-    """Rows of spreadsheets from binary files, for ``mapInPandas``: path, sheet, row, cells. Needs openpyxl."""
+def read_book(data: bytes) -> list[tuple[str, int, list[str]]]:
+    """``(sheet, row, cells)`` of a workbook: its archive has one XML file a sheet and one of shared strings."""
     import io
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    bare = lambda x: x.rsplit("}", 1)[-1]
+    said = lambda e: "".join(t.text or "" for t in e.iter() if bare(t.tag) == "t")
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        tree = lambda name: ElementTree.fromstring(book.read(name))
+        shared = [said(e) for e in tree("xl/sharedStrings.xml") if bare(e.tag) == "si"] if "xl/sharedStrings.xml" in book.namelist() else []
+        target = {e.get("Id"): e.get("Target") for e in tree("xl/_rels/workbook.xml.rels")}
+        out = []
+        for sheet in (e for e in tree("xl/workbook.xml").iter() if bare(e.tag) == "sheet"):
+            path = target[next(v for k, v in sheet.attrib.items() if bare(k) == "id")]
+            rows = tree(path.lstrip("/") if path.startswith("/") else f"xl/{path}")
+            for i, row in enumerate(e for e in rows.iter() if bare(e.tag) == "row"):
+                cells: list[str] = []
+                for c in (e for e in row if bare(e.tag) == "c"):
+                    letters = re.match(r"[A-Z]*", c.get("r") or "")[0]
+                    place = 0
+                    for x in letters:
+                        place = place * 26 + ord(x) - 64
+                    cells += [""] * (place - 1 - len(cells))
+                    value = next((e.text or "" for e in c if bare(e.tag) == "v"), "")
+                    cells.append(shared[int(value)] if c.get("t") == "s" else said(c) if c.get("t") == "inlineStr" else value)
+                if any(cells):
+                    out.append((sheet.get("name"), int(row.get("r") or i + 1), cells))
+    return out
+
 
-    import openpyxl
+def sheet_rows(batches):
+    """Rows of spreadsheets from binary files, for ``mapInPandas``: path, sheet, row, cells as stored."""
     import pandas as pd
 
     for frame in batches:
-        out = []
-        for path, data in zip(frame["path"], frame["content"], strict=True):
-            book = openpyxl.load_workbook(io.BytesIO(data), data_only=True, read_only=True)
-            for sheet in book.worksheets:
-                for i, row in enumerate(sheet.iter_rows(values_only=True)):
-                    if any(v is not None for v in row):
-                        out.append((path, sheet.title, i, ["" if v is None else str(v) for v in row]))
+        out = [(path, *row) for path, data in zip(frame["path"], frame["content"], strict=True) for row in read_book(data)]
         yield pd.DataFrame(out, columns=["path", "sheet", "row", "cells"])
 
 
 def read_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """Spreadsheet rows of all matching files; raises where openpyxl is not installed."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading spreadsheets needs openpyxl on driver and executors") from e
+    """Spreadsheet rows of all matching files; a file is one unit of work."""
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(sheet_rows, "path string, sheet string, row int, cells array<string>")
+
+
+def emit_source(segments: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, place, line)``: segments of pages as lines of a marked-up source.
+
+    ``segments``: key, page, place, kind (line, key, margin, blank, table,
+    figure), text, opt, ignored, id, src, rows and num. A page begins with its
+    number; option lists are opened and closed where lines with ``opt`` begin and end.
+    """
+    order = Window.partitionBy(key).orderBy("page", "place")
+    on_page = Window.partitionBy(key, "page").orderBy("place")
+    opt = (F.col("kind") == "line") & F.coalesce("opt", F.lit(False))
+    rows = segments.withColumn("o", opt)
+    rows = rows.withColumn("was", F.coalesce(F.lag("o").over(on_page), F.lit(False))).withColumn("first", F.row_number().over(on_page) == 1)
+    rows = rows.withColumn("ends", F.lead("o").over(on_page).isNull() & F.col("o")).withColumn("n", F.row_number().over(order))
+    only = lambda c, *x: F.when(c, F.array(*x)).otherwise(F.array().cast("array<string>"))
+    kind, text = F.col("kind"), F.coalesce("text", F.lit(""))
+    own = (
+        F.when(kind == "margin", F.concat(only(F.col("num").isNotNull(), F.concat(F.lit("[[item "), F.col("num"), F.lit("]]"))), F.array(F.concat(F.lit("#~ "), text))))
+        .when(kind == "blank", F.concat(F.array(F.lit("[[blank]]")), only(text != "", F.concat(F.lit("#~ [entry] "), text))))
+        .when(kind == "key", F.array(F.concat(F.lit("[[key]] "), text)))
+        .when(kind == "table", F.concat(F.array(F.concat(F.lit("[[table "), F.col("id"), F.lit("]]"))), F.transform("rows", lambda r: F.array_join(r, "\t")), F.array(F.lit("[[/table]]"))))
+        .when(kind == "figure", F.array(F.concat(F.concat_ws(" ", F.lit("[[figure"), F.col("id"), F.col("src")), F.lit("]]"))))
+        .otherwise(F.array(F.concat(F.when(F.coalesce("ignored", F.lit(False)), "#~ ").otherwise(""), text)))
+    )
+    lines = F.concat(
+        only(F.col("first"), F.concat(F.lit("=== page "), F.col("page"), F.lit(" ==="))), only(F.col("was") & ~F.col("o"), F.lit("[[/options]]")), only(F.col("o") & ~F.col("was"), F.lit("[[options]]")), own,
+        only(F.col("ends"), F.lit("[[/options]]")))
+    spread = rows.select(key, "n", F.posexplode(lines).alias("i", "line"))
+    return spread.select(key, F.row_number().over(Window.partitionBy(key).orderBy("n", "i")).alias("place"), "line")

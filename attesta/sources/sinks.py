@@ -13,8 +13,27 @@ def append_new(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return new.join(existing.select(key).distinct(), key, "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New rows replace old ones of their key."""
+def write_once(new: DataFrame, existing: DataFrame, key: str, header: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows, skipped)``: what stands after a run that overwrites nothing.
+
+    A row that is there with the same header keeps its edits; one with another
+    header belongs to another file, and the new row is skipped.
+    """
+    there = existing.select(key, F.col(header).alias("_header"))
+    skipped = new.join(there, key).where(~F.col(header).eqNullSafe(F.col("_header"))).select(*new.columns)
+    return existing.unionByName(append_new(new, existing, key)), skipped
+
+
+def raw_copies(new: DataFrame, existing: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """Untouched copies after a run: of documents with a page that isn't typed, written the first time only; ``pages``: key, mode."""
+    read = pages.where("mode <> 'typed'").select(key).distinct()
+    return existing.unionByName(append_new(new.join(read, key, "left_semi"), existing, key))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """New rows replace old ones of their key; of several new rows of a key the last by ``order`` counts, where it is given."""
+    if order is not None:
+        new = new.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("_r = 1").drop("_r")
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -54,4 +73,5 @@ def memo(rows: DataFrame, cache: DataFrame | None, content: list[str], compute)
     hashed = rows.withColumn("hash", content_hash(*content))
     if cache is None:
         return materialise(compute(hashed), f"{scratch_dir(rows.sparkSession)}/memo")
-    return hashed.join(cache, "hash").unionByName(compute(hashed.join(cache.select("hash"), "hash", "left_anti")))
+    known = cache.dropDuplicates(["hash"])
+    return hashed.join(known, "hash").unionByName(compute(hashed.join(known.select("hash"), "hash", "left_anti")))

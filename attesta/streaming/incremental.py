@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from attesta.sources.sinks import upsert
+from attesta.session import remove
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -21,19 +21,25 @@ def once_by_content(stream: DataFrame, event_time: str, keys: list[str], delay:
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_stream(stream: DataFrame, target: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest row of each key below ``target``; a generation of files for each batch.
+def upsert_stream(stream: DataFrame, target: str, key: str, checkpoint: str, order: str) -> StreamingQuery:
+    """Keep the latest row of each key, by ``order``, below ``target``; a generation of files for each batch.
 
     A batch that is run again writes its own generation again, so a restart
-    leaves no row twice. :func:`current` reads the latest one.
+    leaves no row twice. :func:`current` reads the latest one; generations
+    before the last two are removed.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        latest = batch.dropDuplicates([key])
         before = _generation(spark, target, epoch)
-        merged = latest if before is None else upsert(spark.read.parquet(f"{target}/g={before}"), latest, key)
+        rows = batch.withColumn("_new", F.lit(1))
+        if before is not None:
+            rows = spark.read.parquet(f"{target}/g={before}").withColumn("_new", F.lit(0)).unionByName(rows)
+        latest = Window.partitionBy(key).orderBy(F.col(order).desc(), F.col("_new").desc(), F.xxhash64(*batch.columns))
+        merged = rows.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r", "_new")
         merged.write.mode("overwrite").parquet(f"{target}/g={epoch}")
+        while before is not None and (old := _generation(spark, target, before)) is not None:
+            remove(spark, f"{target}/g={old}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

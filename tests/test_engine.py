@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import patterns as P, text as T
 from attesta.operators import containment, coverage, graph, items, layout, multiset, repeated, validate
-from attesta.plans.catalog import ORACLE_SQL, QUERIES
+from attesta.plans.queries import ORACLE_SQL, QUERIES
 from attesta.sources import markup, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -211,21 +211,93 @@ def test_items(source):
     assert rows[1]["marks"] == 4.0 and rows[1]["tables"] == ["t1"] and rows[1]["figures"] == ["f1"]
     assert rows[2]["o"] == ["Less setup", "More stock that is wrapped", "Nothing"] and rows[2]["stem"] == "2. Which helps most?"
     assert rows[3]["o"] == ["red", "blue"] and rows[3]["a"] == 1 and (rows[3]["lo"], rows[3]["hi"]) == (19, 26)
-    assert '"label": "(a)"' in rows[4]["parts"] and rows[4]["parts"].count('"text"') == 2 and rows[4]["checks"]
+    assert [(p["label"], p["text"], p["blanks"]) for p in rows[4]["parts"]] == [("(a)", "(a) first", 1), ("(b)", "(b) second", 1)] and rows[4]["stem"] == "Two boxes" and rows[4]["checks"]
+    assert [(m["t"], m["head"], m["rows"], m["src_id"]) for m in rows[1]["media"]] == [("table", ["Stage", "Rate"], [], "t1"), ("fig", None, None, "f1")]
 
 
-def test_lower_case_options_are_a_guess():
-    assert items.split_options(["Stem", "a) one", "b) two"]) == (["Stem"], ["one", "two"], True)
-    assert items.split_options(["Stem", "(A) 1 (B) 2 (C) 3"]) == (["Stem"], ["1", "2", "3"], False)
-    assert items.split_options(["Stem", "A. one"]) == (["Stem", "A. one"], [], False)
-    assert items.split_options(["Stem", "A. one [2 marks]", "B. two"])[1] == []
+@pytest.mark.parametrize(
+    ("lines", "found"),
+    [
+        (["Stem", "a) one", "b) two"], (1, ["one", "two"], True)),
+        (["Stem", "(A) 1 (B) 2 (C) 3"], (1, ["1", "2", "3"], False)),
+        (["Stem", "A. one"], None),
+        (["Stem", "A. one [2 marks]", "B. two"], None),
+        (["Stem", "A. one", "goes on", "B. two", "C) three"], (1, ["one goes on", "two", "three"], False)),
+        (["A. one", "B. two"], None),
+        ([], None),
+    ],
+)
+def test_options_at_the_end(spark, lines, found):
+    got = spark.createDataFrame([(lines,)], "l array<string>").select(items.options_of(F.col("l")).alias("x")).first()["x"]
+    assert (got and tuple(got)) == found
+
+
+PARTS = """1. Read this. [3 marks]
+Some data
+(a) first part
+[[blank]]
+(b) second part
+[[options]]
+red
+blue
+[[/options]]
+[[key]] blue
+A new case is told
+and goes on
+(c) third part
+[[blank]]
+[[blank]]
+a note at the end
+2. Explicit
+[[part]]
+one
+[[part head]]
+a passage
+[[part]]
+two
+[[blank]]
+[[end]]
+[[key]] late key
+stray text
+[[table t9]]
+a\tb\tc
+d
+[[/table]]
+after the table
+[[figure f2]]"""
+
+
+def test_parts_passages_and_padding(spark):
+    rows = items.segment(markup.source_lines(spark.createDataFrame([("p", PARTS)], "doc_id string, text string"))).orderBy("n").collect()
+    assert [(r["kind"], r["name"], r["lo"], r["hi"]) for r in rows] == [("q", "Question 1", 1, 16), ("q", "Question 2", 17, 26), ("head", None, 27, 33)]
+    one = [(p["label"], p["head"], p["text"], p["o"], p["blanks"], p["official"], p["a"]) for p in rows[0]["parts"]]
+    assert one == [("(a)", False, "(a) first part", [], 1, "", None), ("(b)", False, "(b) second part", ["red", "blue"], 0, "blue", 1), (None, True, "A new case is told\nand goes on", [], 0, "", None), ("(c)", False, "(c) third part\na note at the end", [], 2, "", None)]
+    assert rows[0]["stem"] == "1. Read this. [3 marks]\nSome data" and rows[0]["marks"] == 3.0 and rows[0]["checks"] == ["split into 4 parts at its answer slots"]
+    assert [(p["head"], p["text"]) for p in rows[1]["parts"]] == [(False, "one"), (True, "a passage"), (False, "two")] and rows[1]["parts"][2]["official"] == "late key" and rows[1]["checks"] == []
+    assert [(m["t"], m["x"], m["head"], m["rows"]) for m in rows[2]["media"]] == [("table", None, ["a", "b", "c"], [["d", "", ""]]), ("p", "after the table", None, None)]
+    assert rows[2]["checks"] == ["figure f2 has no picture"] and rows[2]["stem"] == "stray text" and rows[2]["figures"] == ["f2"]
+
+
+SHEET = """**Answers**
+General remark
+1. The rate is 41.7
+[[table w]]
+x\ty
+[[/table]]
+2. (B)
+9. nobody asked
+The remaining questions are straightforward"""
 
 
 def test_solutions_and_pairs(spark, source):
     found = items.segment(source)
-    sols = spark.createDataFrame([("setA", 1, "old", "", 1), ("setA", 1, "41.7", "", 2), ("setA", 2, "(B)", "(B)", 3)], "paper string, num int, official string, key string, n int")
-    got = {r["name"]: (r["official"], r["a"]) for r in items.attach_solutions(found, sols).collect()}
-    assert got["Question 1"] == ("41.7", None) and got["MCQ 2"] == ("(B)", 1)
+    sheet = items.segment(markup.source_lines(spark.createDataFrame([("sol", SHEET)], "doc_id string, text string")), solution=True).withColumn("paper", F.lit("setA"))
+    solved, rest = items.attach_solutions(found, sheet)
+    got = {r["name"]: (r["official"], r["a"], r["e_source"], r["e_lo"], len(r["emedia"] or [])) for r in solved.collect() if r["name"]}
+    assert got["Question 1"] == ("The rate is 41.7", None, "sol", 3, 1) and got["MCQ 2"] == ("(B)", 1, "sol", 7, 0) and got["Question 7"][2] is None
+    assert {(r["kind"], r["text"]) for r in rest.collect()} == {("note", "The remaining questions are straightforward"), ("unmatched", "General remark"), ("unmatched", "9. nobody asked")}
+    report = items.scaffold_report(solved, rest).first().asDict()
+    assert (report["items"], report["heads"], report["notes"], report["unmatched"], report["answered"]) == (4, 1, 1, 2, 2)
     files = spark.createDataFrame([("seta", "paper", 1), ("setb_scan", "paper", 2), ("setb_solutions_scan", "solution", 3), ("zz", "solution", 4)], "id string, role string, pos int")
     forced = spark.createDataFrame([("zz", "seta")], "id string, paper string")
     assert {(r["solution"], r["paper"]) for r in items.pair_solutions(files, forced).collect()} == {("setb_solutions_scan", "setb_scan"), ("zz", "seta")}
@@ -291,6 +363,12 @@ def test_layout(spark):
     assert layout.join_wrapped(wrapped, ["item"], "no").first()["text"] == "The first line is long and wraps here, to the very end<br>(a) a part<br>next"
 
 
+def test_figures_grow_over_their_labels():
+    words = [(70, 2, 90, 8, False), (140, 2, 150, 8, False), (5, 12, 9, 20, True), (5, 12, 9, 20, False), (300, 0, 310, 9, False)]
+    assert layout.grow_box((0, 0, 60, 10), words) == (0, 0, 150, 20)
+    assert layout.grow_box((0, 0, 10, 10), []) == (0, 0, 10, 10)
+
+
 def test_right_edge_is_the_lower_index(spark):
     row = spark.range(1).select(layout.right_edge(F.array(*(F.lit(float(x)) for x in range(1, 13)))).alias("a"), layout.right_edge(F.array(*(F.lit(float(x)) for x in range(1, 9)))).alias("b")).first()
     assert (row["a"], row["b"]) == (10.0, 8.0)

@@ -28,7 +28,7 @@ def lines(spark):
 
 def good():
     table = {"t": "table", "head": ["Stage", "Minutes"], "rows": [["Mixing", "12"]], "src_id": "t1"}
-    base = {"paper": "A", "source": "setA", "head": False, "sub": False, "e": "Because of the oven."}
+    base = {"paper": "A", "source": "setA", "head": False, "sub": False, "e": "Because the oven takes longest of all three stages, so nothing that others save counts."}
     return [
         base | {"n": 1, "head": True, "q": "<b>Section I</b>", "lo": 2, "hi": 2},
         base | {"n": 2, "name": "Question 1", "sub": True, "q": "1. A bakery runs a three-stage line with 450 loaves per batch.<br>(a) Which stage is slow? (b) What is the capacity per hour?", "media": [table], "lo": 3, "hi": 8,

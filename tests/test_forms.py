@@ -24,5 +24,17 @@ def test_raised_text(spark):
     assert [(r["line"], r["host"]) for r in forms.raised_text(words, ["page"]).collect()] == [(2, 1)]
 
 
-def test_grow():
-    assert forms.grow((0, 0, 10, 10), [(15, 0, 20, 5), (30, 0, 35, 5), (100, 100, 110, 110)]) == (0, 0, 35, 10)
+def test_option_lines_with_lead_words_and_wrapped_text(spark):
+    words = [(1, 1, 10.0, 10.0, 20.0, 18.0, "Pick:"), (1, 1, 50.0, 10.0, 60.0, 18.0, "red"), (1, 1, 90.0, 10.0, 99.0, 18.0, "blue"), (1, 2, 50.0, 30.0, 70.0, 38.0, "green"), (1, 3, 51.0, 40.0, 70.0, 48.0, "grass"), (1, 4, 51.0, 52.0, 70.0, 60.0, "too"), (1, 5, 90.0, 90.0, 99.0, 98.0, "end")]
+    marks = [(1, 1, 35.0, 10.0, 45.0, 18.0), (1, 2, 75.0, 10.0, 85.0, 18.0), (1, 3, 35.0, 30.0, 45.0, 38.0)]
+    w = spark.createDataFrame(words, "page int, line int, x0 double, y0 double, x1 double, y1 double, text string")
+    m = spark.createDataFrame(marks, "page int, i int, x0 double, y0 double, x1 double, y1 double")
+    got = [(r["opt"], r["text"]) for r in forms.option_lines(w, m, ["page"]).orderBy("place").collect()]
+    assert got == [(False, "Pick:"), (True, "red"), (True, "blue"), (True, "green grass too"), (False, "end")]
+
+
+def test_raised_words_go_back(spark):
+    rows = [(1, 1, 10.0, 10.0, 40.0, 20.0, 10.0, "(X,", [10.0, 20.0, 30.0]), (1, 1, 50.0, 10.0, 60.0, 20.0, 10.0, "Y", [50.0]), (1, 2, 30.2, 16.0, 34.0, 21.0, 5.0, "1", None), (1, 3, 61.0, 8.0, 64.0, 12.0, 5.0, "2", None), (1, 4, 10.0, 90.0, 20.0, 99.0, 10.0, "Z", None)]
+    w = spark.createDataFrame(rows, "page int, line int, x0 double, y0 double, x1 double, y1 double, size double, text string, chars array<double>")
+    got = {(r["line"], r["x0"], r["text"]) for r in forms.merge_raised(w, ["page"]).collect()}
+    assert got == {(1, 10.0, "(X1,"), (1, 50.0, "Y"), (1, 61.0, "2"), (4, 10.0, "Z")}
