@@ -255,9 +255,11 @@ def _dedup(docs: DataFrame, edits: int = EDITS, min_words: int | None = None) ->
     once = texts.select("doc_id", "dh", "text").alias("t").join(some.alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.dh") == F.col("s.dh"))).select("t.doc_id", "t.dh", "t.text", "s.nos")
     words = once.select("doc_id", "dh", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no")).select(
         F.struct("doc_id", "dh", F.col("no").alias("line_no")).alias("ord"), F.split(F.lower(F.trim(F.get("lines", "no"))), " ").alias("w")).dropDuplicates(["ord"])
-    words = materialise(words, f"{root}/words")
+    # Places are numbered in their order, so that keys carry one number and its least is kept by hash.
+    words = materialise(words.orderBy("ord").withColumn("id", F.monotonically_increasing_id()), f"{root}/words")
     release_shuffles(docs.sparkSession)
-    gone = materialise(near_repeats(words, root, edits), f"{root}/gone").select("ord.*")
+    near = near_repeats(words.select(F.col("id").alias("ord"), "w"), root, edits)
+    gone = materialise(words.select("id", "ord").join(near.select(F.col("ord").alias("id")), "id", "left_semi"), f"{root}/gone").select("ord.*")
     for name in ("keys", "earliest", "words", "ends"):
         remove(docs.sparkSession, f"{root}/{name}")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.dh") == F.col(f"{b}.dh"))
