@@ -7,10 +7,11 @@ the source side is a set.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from attesta.functions import text as T
 from attesta.functions.patterns import PRECISION_ERROR
+from attesta.session import materialise, scratch_dir
 
 
 def gram_rows(df: DataFrame, keys: list[str], text: str, n: int = 3, exact: bool = True) -> DataFrame:
@@ -21,14 +22,26 @@ def gram_rows(df: DataFrame, keys: list[str], text: str, n: int = 3, exact: bool
 def containment(items: DataFrame, sources: DataFrame, item_key: str, source_key: str, text: str = "text", threshold: float = PRECISION_ERROR, exact: bool = True) -> DataFrame:
     """Pairs of item and source with hits / total of at least ``threshold``.
 
-    Sources' grams are first cut down to those that any item has, so that only
-    matches are shuffled; then counted per pair.
+    Sources' grams are first cut down to those that any item has, and written.
+    A source that has ``threshold`` of an item's grams has one of its rarest,
+    those that make more than the rest of its total; only pairs that share one are counted, so
+    grams that everything shares make no pairs.
     """
+    spark, root = items.sparkSession, scratch_dir(items.sparkSession)
     wanted = gram_rows(items, [item_key], text, exact=exact)
-    counted = wanted.groupBy(item_key, "gram").agg(F.count("*").alias("times"))
-    totals = wanted.groupBy(item_key).agg(F.count("*").alias("total"))
-    have = sources.select(source_key, F.explode(F.array_distinct(T.grams(T.tokens(text, exact)))).alias("gram"))
-    hits = have.join(counted, "gram").groupBy(item_key, source_key).agg(F.sum("times").alias("hits"))
+    counted = materialise(wanted.groupBy(item_key, "gram").agg(F.count("*").alias("times")), f"{root}/counted")
+    totals = counted.groupBy(item_key).agg(F.sum("times").alias("total"))
+    have = sources.select(source_key, F.explode(F.array_distinct(T.grams(T.tokens(text, exact)))).alias("gram")).join(counted.select("gram").distinct(), "gram", "left_semi")
+    if threshold > 0:
+        have = materialise(have, f"{root}/have")
+        seen = have.groupBy("gram").agg(F.count("*").alias("df"))
+        rarest = Window.partitionBy(item_key).orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = counted.join(seen, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))).join(totals, item_key).withColumn("before", F.coalesce(F.sum("times").over(rarest), F.lit(0)))
+        probes = ranked.where((F.col("before") <= (1 - threshold) * F.col("total") + 1e-9) & (F.col("df") > 0)).select(item_key, "gram")
+        pairs = have.join(probes, "gram").select(item_key, source_key).distinct()
+        hits = pairs.join(counted, item_key).join(spark.read.schema(have.schema).parquet(f"{root}/have"), [source_key, "gram"], "left_semi").groupBy(item_key, source_key).agg(F.sum("times").alias("hits"))
+    else:
+        hits = have.join(counted, "gram").groupBy(item_key, source_key).agg(F.sum("times").alias("hits"))
     return hits.join(totals, item_key).where(F.col("hits") >= threshold * F.col("total")).select(
         item_key, source_key, "hits", "total", (F.col("hits") / F.col("total")).alias("precision"))
 

@@ -1,36 +1,37 @@
-"""Coverage: which stretches of a source no triple of the item covers (gaps and islands)."""
+"""Coverage: which stretches of a source no triple of the item covers (gaps and islands).
+
+Triples that are found are joined by their hash; what is left are gaps between
+sorted places, so all work is in proportion to the texts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from attesta.functions.text import grams, let
+from attesta.functions.text import grams
 
 
 def uncovered_runs(pairs: DataFrame, keys: list[str], source: str = "source", item: str = "item", least: int = 1, before: int = 3, after: int = 3) -> DataFrame:
     """One row for each maximal uncovered run: keys, start, length, words, context.
 
-    ``source`` and ``item`` are token arrays of a row. A source of fewer than
+    ``source`` and ``item`` are token arrays of a row, one row for each key. A source of fewer than
     three tokens is one run if any of its words is missing from the item.
     """
     rows = pairs.select(*keys, F.col(source).alias("s"), F.col(item).alias("i"))
     tiny = rows.where((F.size("s") > 0) & (F.size("s") < 3) & (F.size(F.array_except("s", "i")) > 0)).select(
         *keys, F.lit(0).alias("start"), F.size("s").alias("length"), F.array_join("s", " ").alias("words"), F.array_join("s", " ").alias("context"))
-    hit = rows.where(F.size("s") >= 3).select(*keys, "s", grams(F.col("s")).alias("g"), grams(F.col("i")).alias("h"))
-    known = hit.withColumn("flags", let(F.array_intersect("g", "h"), lambda x: F.transform("g", lambda g: F.array_contains(x, g))))
-    return _runs(known, keys, least, before, after).unionByName(tiny.where(F.col("length") >= least))
+    long = rows.where(F.size("s") >= 3)
+    own = long.select(*keys, F.posexplode(grams(F.col("s"))).alias("pos", "gram"))
+    have = long.select(*keys, F.explode(F.array_distinct(grams(F.col("i")))).alias("gram"))
+    hits = own.join(have, [*keys, "gram"], "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_set("pos")).alias("hits"))
+    return _runs(long.join(hits, keys, "left").select(*keys, "s", "hits"), keys, least, before, after).unionByName(tiny.where(F.col("length") >= least))
 
 
 def _runs(known: DataFrame, keys: list[str], least: int, before: int, after: int) -> DataFrame:
-    """Runs of tokens that no flagged triple covers; ``s`` tokens, ``flags`` one for each triple."""
-    at = lambda i: F.coalesce(F.get("flags", i), F.lit(False))
-    covered = F.transform("s", lambda _, i: at(i) | at(i - 1) | at(i - 2))
-    rows = known.select(*keys, "s", covered.alias("c"))
-    inside = lambda i: F.coalesce(F.get("c", i), F.lit(True))
-    places = F.sequence(F.lit(0), F.size("c") - 1)
-    starts = F.filter(places, lambda i: ~inside(i) & inside(i - 1))
-    ends = F.filter(places, lambda i: ~inside(i) & inside(i + 1))
-    runs = rows.select(*keys, "s", F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("r")).select(
+    """Runs of tokens that no found triple covers; ``s`` tokens, ``hits`` where triples that were found begin, ascending."""
+    rows = known.select(*keys, "s", F.coalesce("hits", F.array().cast("array<int>")).alias("h"))
+    gap = F.transform(F.sequence(F.lit(0), F.size("h")), lambda k: F.struct(F.coalesce(F.get("h", k - 1) + 3, F.lit(0)).alias("a"), F.coalesce(F.get("h", k) - 1, F.size("s") - 1).alias("b")))
+    runs = rows.select(*keys, "s", F.explode(F.filter(gap, lambda r: r["b"] >= r["a"])).alias("r")).select(
         *keys, "s", F.col("r.a").alias("start"), (F.col("r.b") - F.col("r.a") + 1).alias("length"))
     first, stop = F.col("start"), F.col("start") + F.col("length")
     low = F.greatest(F.lit(0), first - before)
@@ -48,7 +49,6 @@ def corpus_uncovered(sources: DataFrame, item_grams: DataFrame, keys: list[str],
     own = sources.select(*keys, F.posexplode(grams(tokens)).alias("pos", "gram"))
     wanted = own.select("gram").distinct()
     known = item_grams.select("gram").join(wanted, "gram", "left_semi").distinct()
-    hits = own.join(known, "gram").groupBy(*keys).agg(F.collect_set("pos").alias("hits"))
+    hits = own.join(known, "gram").groupBy(*keys).agg(F.array_sort(F.collect_set("pos")).alias("hits"))
     rows = sources.join(hits, keys, "left").where(F.size(tokens) > 0)
-    flags: Column = F.when(F.size(tokens) >= 3, F.transform(F.sequence(F.lit(0), F.size(tokens) - 3), lambda i: F.coalesce(F.array_contains("hits", i), F.lit(False)))).otherwise(F.array().cast("array<boolean>"))
-    return _runs(rows.select(*keys, F.col(tokens).alias("s"), flags.alias("flags")), keys, least, before, after)
+    return _runs(rows.select(*keys, F.col(tokens).alias("s"), "hits"), keys, least, before, after)

@@ -61,8 +61,10 @@ def critical_path(activities: DataFrame, edges: DataFrame, max_rounds: int = 10_
 
     ``activities``: graph, id, d. ``edges``: graph, pred, id. Both passes
     settle all activities of one depth in a round, so rounds grow with the
-    longest chain only; each is written to the shared scratch folder. An
-    unknown predecessor or a cycle raises.
+    longest chain only. A round reads what the last one settled and what still
+    waits for some of its needs; settled rows are written once, each round in
+    a folder of its own below the shared scratch folder. An unknown
+    predecessor or a cycle raises.
     """
     spark, root = activities.sparkSession, scratch_dir(activities.sparkSession)
     acts = materialise(activities.select("graph", "id", F.col("d").cast("double").alias("d")), f"{root}/acts")
@@ -74,23 +76,27 @@ def critical_path(activities: DataFrame, edges: DataFrame, max_rounds: int = 10_
 
     def settle(into: str, out_of: str, name: str) -> DataFrame:
         """Longest sum of durations over all that must come first, layer by layer."""
-        turned = links.select("graph", F.col(into).alias("node"), F.col(out_of).alias("needs"))
-        waiting = turned.groupBy("graph", F.col("node").alias("id")).agg(F.count("*").alias("w"))
-        done = materialise(acts.join(waiting, ["graph", "id"], "left_anti").select("graph", "id", F.lit(0.0).alias("at"), (F.col("d")).alias("after"), F.lit(0).alias("round")), f"{root}/{name}0")
-        known, step = done.count(), 0
-        while known < total:
+        turned = links.select("graph", F.col(into).alias("id"), F.col(out_of).alias("needs"))
+        needs = materialise(acts.join(turned.groupBy("graph", "id").agg(F.count("*").alias("w")), ["graph", "id"], "left").select("graph", "id", "d", F.coalesce("w", F.lit(0)).alias("w")), f"{root}/{name}-needs")
+        first = needs.where("w = 0").select("graph", "id", F.lit(0.0).alias("at"), F.col("d").alias("after"))
+        layer = materialise(first, f"{root}/{name}/0")
+        waiting = materialise(needs.select("graph", "id", F.lit(0).cast("long").alias("have"), F.lit(0.0).alias("at")).where("false"), f"{root}/{name}-open0")
+        settled, step = layer.count(), 0
+        while settled < total:
             step += 1
             if step > max_rounds:
                 raise RuntimeError("too many rounds")
-            ready = turned.join(done.select("graph", F.col("id").alias("needs"), "after"), ["graph", "needs"]).groupBy("graph", F.col("node").alias("id")).agg(F.count("*").alias("have"), F.max("after").alias("at"))
-            new = ready.join(waiting, ["graph", "id"]).where("have = w").join(done.select("graph", "id"), ["graph", "id"], "left_anti").join(acts, ["graph", "id"])
-            done = materialise(done.unionByName(new.select("graph", "id", "at", (F.col("at") + F.col("d")).alias("after"), F.lit(step).alias("round"))), f"{root}/{name}{step}")
-            remove(spark, f"{root}/{name}{step - 1}")
-            n = done.count()
-            if n == known:
+            news = turned.join(layer.select("graph", F.col("id").alias("needs"), "after"), ["graph", "needs"]).select("graph", "id", F.lit(1).cast("long").alias("have"), F.col("after").alias("at"))
+            held = waiting.unionByName(news).groupBy("graph", "id").agg(F.sum("have").alias("have"), F.max("at").alias("at"))
+            held = materialise(held.join(needs, ["graph", "id"]), f"{root}/{name}-held{step}")
+            layer = materialise(held.where("have = w").select("graph", "id", "at", (F.col("at") + F.col("d")).alias("after")), f"{root}/{name}/{step}")
+            waiting = held.where("have < w").select("graph", "id", "have", "at")
+            if step > 1:
+                remove(spark, f"{root}/{name}-held{step - 1}")
+            if not (n := layer.count()):
                 raise ValueError("the network has a cycle")
-            known = n
-        return done
+            settled += n
+        return spark.read.schema(layer.schema).parquet(*(f"{root}/{name}/{k}" for k in range(step + 1)))
 
     early = settle("id", "pred", "e").select("graph", "id", F.col("at").alias("es"), F.col("after").alias("ef"))
     late = settle("pred", "id", "l").select("graph", "id", F.col("at").alias("tail"))

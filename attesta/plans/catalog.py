@@ -123,14 +123,6 @@ def html_bare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.strip_tags("html").alias("text"))
 
 
-@query()
-def html_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as plain text with entities decoded, their token count, and how many are numbers."""
-    rows = table(spark, sf_dir, "pages").select("page_id", T.plain("html").alias("text"))
-    toks = T.tokens("text")
-    return rows.select("page_id", "text", F.size(toks).alias("n_tokens"), F.size(T.numbers(toks)).alias("n_numbers"))
-
-
 @query(f"""WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS x FROM documents)
 SELECT doc_id, CASE WHEN regexp_matches(source, '{P.SOLUTION_WORDS}') THEN 'solution' WHEN regexp_matches(source, '{P.READING_WORDS}') THEN 'reading'
 WHEN regexp_matches(lower(array_to_string(x[1:40], ' ')), '{P.SOLUTION_HEAD}') THEN 'solution'
@@ -162,22 +154,6 @@ def key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.join(latest, "k").select("doc_id", "latest", "n")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size + p_size / 2.0 END::DOUBLE AS marks FROM part")
-def marks_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marks printed in texts made from parts."""
-    half = F.format_string("%.1f", F.col("p_size") / 2)
-    text = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise(F.concat(F.col("p_name"), F.lit(" ["), F.col("p_size"), F.lit(" Marks] and ("), half, F.lit(" mark)")))
-    return table(spark, sf_dir, "part").select("p_partkey", T.marks_total(text).alias("marks"))
-
-
-_MATH = {0: ("plain", None), 1: ("\\(x\\) and \\[y\\]", None), 2: ("\\(x \\[y\\] \\)", "nested"), 3: ("x\\)", "without opener"), 4: ("\\(x\\]", "closed by another"), 5: ("\\[x", "never closed"), 6: ("costs $a \\times b$", "dollars")}
-
-
-@query("SELECT p_partkey, CASE p_size % 7 " + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, v) in _MATH.items() if v) + " END AS fault FROM part")
-def math_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faults of maths delimiters in texts made from parts."""
-    kinds = F.create_map(*(F.lit(x) for k, (text, _) in _MATH.items() for x in (k, text)))
-    return table(spark, sf_dir, "part").select("p_partkey", T.math_state(F.concat("p_name", F.lit(" "), kinds[F.col("p_size") % 7])).alias("fault"))
 
 
 @query("""SELECT conv_id, turn, asked FROM (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM conversations) WHERE role = 'assistant'""")
@@ -281,15 +257,18 @@ def lowest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.first_rows(scored, 3, F.col("precision"), F.col("item_id"))
 
 
-@query("""WITH a AS (SELECT conv_id AS graph, turn AS id, length(text)::DOUBLE AS d FROM conversations),
-e AS (SELECT *, sum(d) OVER (PARTITION BY graph, id % 2 ORDER BY id) AS ef, sum(d) OVER (PARTITION BY graph, id % 2 ORDER BY id DESC) AS rest FROM a),
-t AS (SELECT graph, max(ef) AS total FROM e GROUP BY graph)
-SELECT graph, id, d, ef - d AS es, ef, total - rest AS ls, total - rest + d AS lf, abs(total - rest - (ef - d)) < 1e-9 AS critical FROM e JOIN t USING (graph)""")
+@query("""WITH RECURSIVE a AS (SELECT conv_id AS graph, list(length(text)::DOUBLE ORDER BY turn) AS d, list(turn ORDER BY turn) AS id FROM conversations GROUP BY conv_id),
+e AS (SELECT graph, d, id, 0 AS i, []::DOUBLE[] AS ef FROM a UNION ALL SELECT graph, d, id, i + 1, list_append(ef, d[i + 1] + greatest(coalesce(CASE WHEN i > 1 THEN ef[i - 1] END, 0), coalesce(CASE WHEN i > 2 THEN ef[i - 2] END, 0))) FROM e WHERE i < len(d)),
+f AS (SELECT graph, d, id, ef, list_max(ef) AS total FROM e WHERE i = len(d)),
+l AS (SELECT graph, d, id, ef, total, 0 AS i, []::DOUBLE[] AS tail FROM f
+  UNION ALL SELECT graph, d, id, ef, total, i + 1, list_append(tail, d[len(d) - i] + greatest(coalesce(CASE WHEN i > 1 THEN tail[i - 1] END, 0), coalesce(CASE WHEN i > 2 THEN tail[i - 2] END, 0))) FROM l WHERE i < len(d)),
+r AS (SELECT graph, total, unnest(id) AS id, unnest(d) AS d, unnest(ef) AS ef, unnest(list_reverse(tail)) AS tail FROM l WHERE i = len(d))
+SELECT graph, id, d, ef - d AS es, ef, total - tail AS ls, total - tail + d AS lf, abs(total - tail - (ef - d)) < 1e-9 AS critical FROM r""")
 def critical_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earliest and latest times of turns, each after the one two before it."""
+    """Earliest and latest times of turns, each after those two and three before it."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("graph"), F.col("turn").alias("id"), F.length("text").alias("d"))
-    later = turns.select("graph", (F.col("id") - 2).alias("pred"), "id").join(turns.select("graph", F.col("id").alias("pred")), ["graph", "pred"])
-    return graph.critical_path(turns, later)
+    needs = turns.select("graph", "id", F.explode(F.array(F.col("id") - 2, F.col("id") - 3)).alias("pred"))
+    return graph.critical_path(turns, needs.join(turns.select("graph", F.col("id").alias("pred")), ["graph", "pred"]))
 
 
 @query(f"""WITH RECURSIVE k AS (SELECT doc_id, array_to_string(({tok_sql("string_split(text, chr(10))[1]")})[1:12], ' ') AS k, md5(text) AS h FROM documents),
@@ -324,12 +303,6 @@ def content_hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("first_id", "n")
 
 
-@query("SELECT p_partkey, floor(w * s * h * s / 750)::INTEGER AS tokens FROM (SELECT p_partkey, (p_size * 60)::DOUBLE AS w, (p_size * 40 + 100)::DOUBLE AS h, least(1.0::DOUBLE, 1568.0::DOUBLE / greatest((p_size * 60)::DOUBLE, (p_size * 40 + 100)::DOUBLE)) AS s FROM part)")
-def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost of images as large as parts make them."""
-    return table(spark, sf_dir, "part").select("p_partkey", T.image_tokens(F.col("p_size") * 60, F.col("p_size") * 40 + 100).alias("tokens"))
-
-
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL SELECT o_orderkey, 'X', o_totalprice FROM orders WHERE o_orderkey % 10 = 0")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth order replaced by a newer row of its key."""
@@ -337,41 +310,14 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.upsert(old, old.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("X")), "o_orderkey")
 
 
-@query(f"SELECT doc_id, pos::INTEGER AS pos, word FROM (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, {tok_sql('string_split(text, chr(10))[1]')} AS t FROM documents)) ANTI JOIN (SELECT DISTINCT unnest({tok_sql('text')}) AS word FROM benchmark) USING (word)")
+@query(f"WITH d AS (SELECT doc_id, {tok_sql('text')} AS t FROM documents) SELECT doc_id, pos::INTEGER AS pos, word FROM (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS pos FROM d) ANTI JOIN (SELECT DISTINCT unnest({tok_sql('text')}) AS word FROM benchmark) USING (word)")
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of documents' first lines that no benchmark item has."""
-    first = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("text"))
+    """Words of documents that no benchmark item has."""
     vocabulary = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens("text", False)).alias("word"))
-    return C.unknown_words(first, vocabulary, ["doc_id"], exact=False).select("doc_id", "pos", "word")
+    return C.unknown_words(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"], exact=False).select("doc_id", "pos", "word")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field of events' JSON."""
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
-
-
-@query()
-def item_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that documents read as if they were papers."""
-    return items.segment(markup.source_lines(table(spark, sf_dir, "documents")))
-
-
-@query()
-def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on order totals computed from lines, against what orders state."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("value"))
-    calcs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("expect")).join(lines, "id", "left")
-    null = lambda kind: F.lit(None).cast(kind)
-    calcs = calcs.select("id", "value", null("double").alias("tol"), F.when(F.col("id") % 3 > 0, F.col("expect")).alias("expect"), null("double").alias("num"), null("double").alias("option_number"),
-                         F.when(F.col("id") % 3 == 0, F.array("expect")).alias("official"), F.when(F.col("id") % 6 == 0, "misprint").alias("dispute"))
-    return validate.answer_checks(calcs)
-
-
-@query()
-def source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources paired by name: odd ones as solutions to even ones."""
-    names = table(spark, sf_dir, "documents").select("source").distinct()
-    no = F.regexp_extract("source", r"(\d+)", 1).cast("int")
-    files = names.select(F.when(no % 2 == 1, F.concat("source", F.lit("_solutions"))).otherwise(F.col("source")).alias("id"), F.when(no % 2 == 1, "solution").otherwise("paper").alias("role"), no.alias("pos"))
-    return items.pair_solutions(files)

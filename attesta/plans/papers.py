@@ -185,8 +185,22 @@ def units_sql(name: str, rows: str, keys: str, text: str) -> str:
 {name} AS (SELECT {keys}, count(k.unit) AS hits, count(*) AS total FROM {name}_u u LEFT JOIN known k USING (paper, w, unit) GROUP BY ALL)"""
 
 
+#: Where a session has written the tables of :func:`paper_items`, by session and input.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def paper_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """``(items, lines)``: items made from each document's lines, as :data:`ITEMS` has them, and the documents' records."""
+    """``(items, lines)``: items made from each document's lines, as :data:`ITEMS` has them, and the documents' records.
+
+    Both are written once in a session, for all queries over them.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _WRITTEN:
+        _WRITTEN[key] = _write_items(spark, sf_dir)
+    return tuple(spark.read.parquet(f"{_WRITTEN[key]}/{name}") for name in ("items", "lines"))
+
+
+def _write_items(spark: SparkSession, sf_dir: str) -> str:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(F.col("doc_id").cast("string").alias("paper"), F.posexplode(F.split("text", "\n")).alias("k", "s")).withColumn("n", F.col("k") + 1)
     n, s, w = F.col("n"), F.col("s"), F.split("s", " ")
@@ -210,7 +224,9 @@ def paper_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     made_items = rows.select(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
     lines = markup.source_lines(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
     root = scratch_dir(spark)
-    return materialise(made_items, f"{root}/items"), materialise(lines, f"{root}/lines")
+    made_items.write.parquet(f"{root}/items")
+    lines.write.parquet(f"{root}/lines")
+    return root
 
 
 def findings(spark: SparkSession, sf_dir: str, *rules: str) -> DataFrame:
@@ -344,3 +360,43 @@ count(*) + sum(parted::INTEGER) - sum(parted::INTEGER) - sum(({_CHOICE})::INTEGE
 def paper_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items, parts and kinds of answers of each paper."""
     return fidelity.paper_counts(paper_items(spark, sf_dir)[0]).withColumn("paper", F.col("paper").cast("long"))
+
+
+@query(f"""WITH {LINES}, {SPANS}, x AS (SELECT doc_id AS paper, CASE item WHEN 'one' THEN 1 ELSE 2 END AS n, table_id, fig_id, kind, text, no FROM r JOIN spans USING (doc_id) WHERE no BETWEEN lo AND hi),
+t AS (SELECT DISTINCT paper, n, table_id FROM x WHERE kind = 'directive' AND starts_with(text, '[[table')), f AS (SELECT DISTINCT paper, n, fig_id FROM x WHERE kind = 'figure'),
+g AS (SELECT paper, n, count(*) FILTER (fig_id = 'f18' AND paper % 5 = 0 AND n = 2) AS met, list_sort(list(fig_id) FILTER (NOT (fig_id = 'f18' AND paper % 5 = 0 AND n = 2))) AS lost FROM f GROUP BY ALL)
+SELECT 'table not shown' AS rule, paper, n, table_id AS detail FROM t WHERE NOT (n = 1 AND paper % 2 = 0 AND table_id = 't4') AND NOT (n = 2 AND paper % 7 = 0 AND table_id = 't16')
+UNION ALL SELECT 'figure not shown', paper, n, array_to_string(lost, ' ') FROM g WHERE len(lost) > (CASE WHEN n = 2 THEN (paper % 3 = 0)::INTEGER + (paper % 5 = 0)::INTEGER ELSE 0 END) - met""")
+def paper_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables and figures of stretches of marked-up papers that their items don't show; drawn blocks count for figures."""
+    kind = StructType.fromDDL(fidelity.ITEM_SCHEMA)
+    block = lambda t, src: F.struct(F.lit(t).alias("t"), *(F.lit(None).cast("string").alias(c) for c in ("title", "x", "caption")), F.lit(None).cast("array<string>").alias("head"), F.lit(None).cast("array<array<string>>").alias("rows"), F.lit(src).cast("string").alias("src_id"))
+    paper, one = F.col("doc_id"), F.col("item") == "one"
+    shown = F.array_compact(F.array(
+        F.when(one & (paper % 2 == 0), block("table", "t4")), F.when(~one & (paper % 3 == 0), block("flow", None)), F.when(~one & (paper % 5 == 0), block("fig", "f18"))))
+    values = {"paper": paper.cast("string"), "source": paper.cast("string"), "n": F.when(one, 1).otherwise(2), "q": F.lit(""), "lo": F.col("lo"), "hi": F.col("hi"), "media": shown, "emedia": F.when(~one & (paper % 7 == 0), F.array(block("table", "t16")))}
+    items = spans(spark, sf_dir).select(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
+    lines = materialise(records(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string")), f"{scratch_dir(spark)}/lines")
+    found, _, _ = fidelity.check_papers(items, lines, exact=False)
+    return found.where(F.col("rule").isin("table not shown", "figure not shown")).select("rule", F.col("paper").cast("long").alias("paper"), "n", "detail")
+
+
+_REASONS = f"""{units_sql('sc', 'sg', 'paper, n', 't')}, pc AS (SELECT paper, n, coalesce(hits / total, 1.0) AS p FROM i LEFT JOIN sc USING (paper, n)),
+why AS (SELECT paper, n, 'hand-made item (no source span)' AS reason FROM i WHERE NOT placed AND NOT head UNION ALL SELECT paper, n, 'MCQ' FROM i WHERE o IS NOT NULL AND NOT sub UNION ALL SELECT paper, n, '2 sub-parts' FROM i WHERE parted
+  UNION ALL SELECT paper, n, 'text match' FROM pc WHERE p >= 0.9 AND p < 0.995)"""
+
+
+@query(f"WITH {_BASE}, {SEGMENTS}, {_REASONS} SELECT * FROM why")
+def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why to look at items though nothing is wrong with them."""
+    return fidelity.check_papers(*paper_items(spark, sf_dir), exact=False)[2].withColumn("paper", F.col("paper").cast("long"))
+
+
+@query(f"""WITH {_BASE}, {SEGMENTS}, {_REASONS}, {PAIRS}, {numbers_sql('pr')}, er AS (SELECT paper, n, count(*) AS errors FROM (SELECT paper, n FROM diff UNION ALL SELECT paper, n FROM i WHERE open) GROUP BY ALL),
+so AS (SELECT paper, n, sum(CASE reason WHEN 'MCQ' THEN 0.5 WHEN '2 sub-parts' THEN 0.0 ELSE 3.0 END)::DOUBLE AS soft FROM why GROUP BY ALL),
+al AS (SELECT coalesce(so.paper, er.paper) AS paper, coalesce(so.n, er.n) AS n, coalesce(errors, 0) AS errors, coalesce(errors, 0) * 10.0::DOUBLE + coalesce(soft, 0.0::DOUBLE) AS score FROM so FULL JOIN er ON so.paper = er.paper AND so.n = er.n)
+SELECT * FROM al ORDER BY score DESC, paper::VARCHAR, n LIMIT 8""")
+def review_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight items to compare with their print first."""
+    found, _, reasons = fidelity.check_papers(*paper_items(spark, sf_dir), exact=False)
+    return fidelity.riskiest(found.where(F.col("rule").isin("numbers differ", "unconfirmed")), reasons).withColumn("paper", F.col("paper").cast("long"))

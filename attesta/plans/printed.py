@@ -158,14 +158,14 @@ def _shapes(rows: DataFrame) -> DataFrame:
 
 
 @query(f"WITH {WORDS}, {_MARKS} SELECT doc_id, no, row_number() OVER (PARTITION BY doc_id, no ORDER BY x0)::INTEGER AS place, x0, y0, x1, y1, selected FROM m")
-def option_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def choice_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Radio buttons and whether each is filled."""
     marks = forms.choice_marks(_shapes(words(spark, sf_dir)), ["doc_id", "no"])
     return layout.reading_order(marks, ["doc_id", "no"]).drop("i")
 
 
 @query(f"WITH {WORDS} SELECT doc_id, no, k // 5 + 1 AS place, true AS opt, string_agg(text, ' ' ORDER BY k) AS text FROM w GROUP BY ALL")
-def option_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def choice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with radio buttons, each option on its own."""
     rows = words(spark, sf_dir)
     marks = forms.choice_marks(_shapes(rows), ["doc_id", "no"])

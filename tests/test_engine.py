@@ -62,7 +62,6 @@ def reference_tokens(text):
 @pytest.mark.parametrize("text", TEXTS)
 def test_tokens(spark, text):
     assert one(spark, T.tokens("t"), t=text) == reference_tokens(text)
-    assert items.tokens(text) == [t for t in items.tokens(text)] and items.tokens("12,000 &amp; <b>x</b>") == ["12000", "x"]
 
 
 @pytest.mark.parametrize(("n", "want"), [(0, []), (1, []), (2, []), (3, ["a b c"]), (4, ["a b c", "b c d"])])
@@ -390,6 +389,41 @@ def test_memo_computes_only_what_is_new(spark):
     assert {r["id"]: r["value"] for r in again.collect()} == {1: 99, 2: 2}
 
 
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    parts = {
+        "xl/workbook.xml": '<workbook xmlns:r="rel"><sheets><sheet name="One" r:id="rId1"/><sheet name="Two" r:id="rId2"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+        "xl/sharedStrings.xml": "<sst><si><t>Stage</t></si><si><r><t>Ra</t></r><r><t>te</t></r></si></sst>",
+        "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row r="3"><c r="B3"><v>4.5</v></c><c r="AA3" t="inlineStr"><is><t>far</t></is></c></row><row r="4"><c r="A4"/></row></sheetData></worksheet>',
+        "xl/worksheets/sheet2.xml": "<worksheet><sheetData/></worksheet>"}
+    with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    rows = [(r["sheet"], r["row"], r["cells"]) for r in markup.read_sheets(spark, str(tmp_path / "*.xlsx")).orderBy("row").collect()]
+    assert rows == [("One", 1, ["Stage", "Rate"]), ("One", 3, ["", "4.5", *[""] * 24, "far"])]
+
+
+def test_containment_counts_only_pairs_that_share_a_rare_triple(spark):
+    rng = random.Random(3)
+    common = "of the thing that is here"
+    items_ = [(i, common + " " + " ".join("w" + chr(97 + rng.randrange(26)) for _ in range(rng.randint(0, 15)))) for i in range(30)]
+    docs = [(i, " ".join("w" + chr(97 + rng.randrange(26)) for _ in range(5)) + " " + rng.choice(items_)[1] + " " + common) for i in range(60)]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} int, text string")
+    grams_of = lambda t: [tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)]
+    for threshold in (0.0, 0.5, 0.9, 1.0):
+        want = set()
+        for i, a in items_:
+            for d, b in docs:
+                have, own = set(grams_of(b)), grams_of(a)
+                hits = sum(g in have for g in own)
+                if hits and hits >= threshold * len(own):
+                    want.add((i, d, hits, len(own)))
+        got = {(r["i"], r["d"], r["hits"], r["total"]) for r in containment.containment(frame(items_, "i"), frame(docs, "d"), "i", "d", threshold=threshold, exact=False).collect()}
+        assert got == want
+
+
 def test_library_stands_without_the_subpackage():
     import subprocess
     import sys
