@@ -14,7 +14,7 @@ BATCH_RECORDS = 512
 def bound_batches(spark: SparkSession, records: int = BATCH_RECORDS) -> None:
     """Keep Arrow batches small enough that a batch of very long texts fits a Python worker; smaller bounds that are set already stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", records), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
-        now = spark.conf.get(key, "0")
+        now = (spark.conf.get(key) or "").removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
