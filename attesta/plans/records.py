@@ -476,12 +476,13 @@ def source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXAMS = """exams AS (SELECT item_id AS doc_id, array_to_string(CASE item_id % 3
 WHEN 0 THEN ['1. ' || a, '(a) ' || b, '[[blank]]', '(b) ' || a, '[[options]]', b, a, '[[/options]]', '[[key]] The correct answer is: ' || a, 'A case: ' || b, '(c) ' || a, '[[blank]]', '[[blank]]', 'note ' || b]
 WHEN 1 THEN ['1. ' || b, '[[part]]', '(a) ' || a, '[[blank]]', '[[part head]]', 'passage ' || b, '[[part]]', b, '[[options]]', a, b, '[[/options]]', '[[key]] ' || b]
-ELSE ['1. ' || a, 'and ' || b, 'A. ' || a, 'B) ' || b, 'wrapped ' || a, '(c) third'] END, chr(10)) AS text FROM (SELECT item_id, split_part(text, ' ', 1) || ' ' || item_id AS a, split_part(text, ' ', 2) || 'x' AS b FROM benchmark))"""
+ELSE ['1. ' || a, 'and ' || b, 'A. ' || a, 'B) ' || b, 'wrapped ' || a, '(c) third'] END, chr(10)) AS text FROM (SELECT item_id, split_part(t, ' ', 1) || ' ' || item_id AS a, split_part(t, ' ', 2) || 'x' AS b FROM (SELECT item_id, replace(text, chr(10), ' ') AS t FROM benchmark)))"""
 
 
 def exams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exam papers, as :data:`EXAMS` has them."""
-    a, b = F.concat(F.get(F.split("text", " "), 0), F.lit(" "), "item_id"), F.concat(F.get(F.split("text", " "), 1), F.lit("x"))
+    first = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    a, b = F.concat(F.get(first, 0), F.lit(" "), "item_id"), F.concat(F.get(first, 1), F.lit("x"))
     join = lambda *x: F.concat(*(F.lit(c) if isinstance(c, str) else c for c in x))
     slot, parts, letters = (F.array(*(F.lit(c) if isinstance(c, str) else c for c in lines)) for lines in (
         [join("1. ", a), join("(a) ", b), "[[blank]]", join("(b) ", a), "[[options]]", b, a, "[[/options]]", join("[[key]] The correct answer is: ", a), join("A case: ", b), join("(c) ", a), "[[blank]]", "[[blank]]", join("note ", b)],
@@ -528,7 +529,7 @@ def lettered_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Papers of a question for each turn of a conversation, and solution sheets for every second one, with a remark, a stray solution and a note."""
-    turns = table(spark, sf_dir, "conversations").withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).withColumn("w", F.concat(F.get(F.split("text", " "), 0), F.lit(" told")))
+    turns = table(spark, sf_dir, "conversations").withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).withColumn("w", F.concat(F.get(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 0), F.lit(" told")))
     line = F.concat(F.col("k"), F.lit(". "), "w")
     gathered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("k", line.alias("s"))))), lambda x: x["s"])
     both = turns.where("k < 90").groupBy("conv_id").agg(gathered(F.lit(True)).alias("all"), gathered(F.col("k") % 2 == 0).alias("even"))
@@ -540,7 +541,7 @@ def _sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return materialise(papers, f"{root}/papers"), materialise(sheets, f"{root}/sheets")
 
 
-_TURNS = "q AS (SELECT conv_id AS paper, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS k, split_part(text, ' ', 1) || ' told' AS w FROM conversations)"
+_TURNS = "q AS (SELECT conv_id AS paper, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS k, split_part(replace(text, chr(10), ' '), ' ', 1) || ' told' AS w FROM conversations)"
 
 
 @query(f"""WITH {_TURNS} SELECT paper, k AS num, CASE WHEN k % 2 = 0 THEN w || ' in the sheet' ELSE '' END AS official, CASE WHEN k % 2 = 0 THEN k // 2 + 1 END::INTEGER AS e_lo FROM q WHERE k < 90""")

@@ -150,19 +150,19 @@ def test_page_furniture(spark):
 SOURCE = """#! source v1 id=setA role=paper
 #~ running header
 **Section I · Problems**
-1. A plant runs a three-stage line. [4 marks]
-(a) Which stage is slow?
+1. Count the birds on the wire. [4 marks]
+(a) Which bird is red?
 [[table t1]]
-Stage\tRate
+Bird\tCount
 === page 9 ===
 [[blank]]
 [[/table]]
 === page 2 ===
 [[figure f1 view/f1.png]]
-2. Which helps most?
-(A) Less setup
-(B) More stock that
-is wrapped
+2. Which flew off?
+(A) One crow
+(B) Two doves that
+are white
 (C) Nothing
 [[item 7]]
 What is best?
@@ -208,10 +208,10 @@ def test_items(source):
     rows = items.segment(source).orderBy("n").collect()
     assert [(r["kind"], r["name"]) for r in rows] == [("head", None), ("q", "Question 1"), ("q", "MCQ 2"), ("q", "Question 7"), ("q", "Question")]
     assert rows[1]["marks"] == 4.0 and rows[1]["tables"] == ["t1"] and rows[1]["figures"] == ["f1"]
-    assert rows[2]["o"] == ["Less setup", "More stock that is wrapped", "Nothing"] and rows[2]["stem"] == "2. Which helps most?"
+    assert rows[2]["o"] == ["One crow", "Two doves that are white", "Nothing"] and rows[2]["stem"] == "2. Which flew off?"
     assert rows[3]["o"] == ["red", "blue"] and rows[3]["a"] == 1 and (rows[3]["lo"], rows[3]["hi"]) == (19, 26)
     assert [(p["label"], p["text"], p["blanks"]) for p in rows[4]["parts"]] == [("(a)", "(a) first", 1), ("(b)", "(b) second", 1)] and rows[4]["stem"] == "Two boxes" and rows[4]["checks"]
-    assert [(m["t"], m["head"], m["rows"], m["src_id"]) for m in rows[1]["media"]] == [("table", ["Stage", "Rate"], [], "t1"), ("fig", None, None, "f1")]
+    assert [(m["t"], m["head"], m["rows"], m["src_id"]) for m in rows[1]["media"]] == [("table", ["Bird", "Count"], [], "t1"), ("fig", None, None, "f1")]
 
 
 @pytest.mark.parametrize(
@@ -279,7 +279,7 @@ def test_parts_passages_and_padding(spark):
 
 SHEET = """**Answers**
 General remark
-1. The rate is 41.7
+1. There are 9 of them
 [[table w]]
 x\ty
 [[/table]]
@@ -293,7 +293,7 @@ def test_solutions_and_pairs(spark, source):
     sheet = items.segment(markup.source_lines(spark.createDataFrame([("sol", SHEET)], "doc_id string, text string")), solution=True).withColumn("paper", F.lit("setA"))
     solved, rest = items.attach_solutions(found, sheet)
     got = {r["name"]: (r["official"], r["a"], r["e_source"], r["e_lo"], len(r["emedia"] or [])) for r in solved.collect() if r["name"]}
-    assert got["Question 1"] == ("The rate is 41.7", None, "sol", 3, 1) and got["MCQ 2"] == ("(B)", 1, "sol", 7, 0) and got["Question 7"][2] is None
+    assert got["Question 1"] == ("There are 9 of them", None, "sol", 3, 1) and got["MCQ 2"] == ("(B)", 1, "sol", 7, 0) and got["Question 7"][2] is None
     assert {(r["kind"], r["text"]) for r in rest.collect()} == {("note", "The remaining questions are straightforward"), ("unmatched", "General remark"), ("unmatched", "9. nobody asked")}
     report = items.scaffold_report(solved, rest).first().asDict()
     assert (report["items"], report["heads"], report["notes"], report["unmatched"], report["answered"]) == (4, 1, 1, 2, 2)

@@ -5,19 +5,19 @@ from attesta.sources import markup
 
 PAPER = """#! source v1 id=setA
 **Section I**
-1. A bakery runs a three-stage line with 450 loaves per batch.
-(a) Which stage is slow? (b) What is the capacity per hour?
+1. The ferry to the island sails with 326 seats and two decks for cars.
+(a) Who boards first? (b) How many cars fit on it?
 [[table t1]]
-Stage\tMinutes
-Mixing\t12
+Deck\tCars
+Lower\t18
 [[/table]]
-2. Which change helps the most?
-(A) Cutting the setup time of the oven
-(B) Adding more stock before it
-(C) Doing nothing at all
-3. Read the chart and explain what it shows about demand.
+2. What would you do about the queue?
+(A) Sell the tickets on the shore in advance
+(B) Open one more gate for cars
+(C) Leave it as it is
+3. Look at the map and tell where the wind comes from.
 [[figure f1 view/f1.png]]"""
-SOLUTION = """1. The bottleneck is the oven and the capacity is 41.7 loaves per hour.
+SOLUTION = """1. Those on foot board first and 37.5 cars fit on average.
 2. (A)"""
 
 
@@ -27,14 +27,14 @@ def lines(spark):
 
 
 def good():
-    table = {"t": "table", "head": ["Stage", "Minutes"], "rows": [["Mixing", "12"]], "src_id": "t1"}
-    base = {"paper": "A", "source": "setA", "head": False, "sub": False, "e": "Because the oven takes longest of all three stages, so nothing that others save counts."}
+    table = {"t": "table", "head": ["Deck", "Cars"], "rows": [["Lower", "18"]], "src_id": "t1"}
+    base = {"paper": "A", "source": "setA", "head": False, "sub": False, "e": "Because a queue on the shore costs nobody a seat, while one more gate only moves it along."}
     return [
         base | {"n": 1, "head": True, "q": "<b>Section I</b>", "lo": 2, "hi": 2},
-        base | {"n": 2, "name": "Question 1", "sub": True, "q": "1. A bakery runs a three-stage line with 450 loaves per batch.<br>(a) Which stage is slow? (b) What is the capacity per hour?", "media": [table], "lo": 3, "hi": 8,
-                "official": "The bottleneck is the oven and the capacity is 41.7 loaves per hour.", "e_source": "solA", "e_lo": 1, "e_hi": 1},
-        base | {"n": 3, "name": "MCQ 2", "q": "2. Which change helps the most?", "o": ["Cutting the setup time of the oven", "Adding more stock before it", "Doing nothing at all"], "a": 0, "lo": 9, "hi": 12},
-        base | {"n": 4, "name": "Question 3", "sub": True, "q": "3. Read the chart and explain what it shows about demand.", "media": [{"t": "fig", "src_id": "f1"}], "lo": 13, "hi": 14},
+        base | {"n": 2, "name": "Question 1", "sub": True, "q": "1. The ferry to the island sails with 326 seats and two decks for cars.<br>(a) Who boards first? (b) How many cars fit on it?", "media": [table], "lo": 3, "hi": 8,
+                "official": "Those on foot board first and 37.5 cars fit on average.", "e_source": "solA", "e_lo": 1, "e_hi": 1},
+        base | {"n": 3, "name": "MCQ 2", "q": "2. What would you do about the queue?", "o": ["Sell the tickets on the shore in advance", "Open one more gate for cars", "Leave it as it is"], "a": 0, "lo": 9, "hi": 12},
+        base | {"n": 4, "name": "Question 3", "sub": True, "q": "3. Look at the map and tell where the wind comes from.", "media": [{"t": "fig", "src_id": "f1"}], "lo": 13, "hi": 14},
     ]
 
 
@@ -81,26 +81,26 @@ def replace(n, old, new, field="q"):
 
 
 FAULTS = [
-    ("paraphrased stem", replace(2, "runs a three-stage line", "operates a line with three stages"), "missing from the item"),
-    ("paraphrase scores low", replace(4, "explain what it shows about demand", "say why demand goes as it does there"), "precision"),
-    ("one word dropped", replace(2, " per batch", ""), "missing from the item"),
-    ("sub-part dropped", replace(2, " (b) What is the capacity per hour?", ""), "missing from the item"),
-    ("number mistyped", replace(2, "450", "459"), "numbers differ"),
-    ("table cell mistyped", change(2, media=[{"t": "table", "head": ["Stage", "Minutes"], "rows": [["Mixing", "13"]], "src_id": "t1"}]), "table cell"),
-    ("table cell's number", change(2, media=[{"t": "table", "head": ["Stage", "Minutes"], "rows": [["Mixing", "13"]], "src_id": "t1"}]), "numbers differ"),
+    ("paraphrased stem", replace(2, "sails with 326 seats", "carries 326 people"), "missing from the item"),
+    ("paraphrase scores low", replace(4, "tell where the wind comes from", "say which way a gale blows there in winter"), "precision"),
+    ("one word dropped", replace(2, " for cars", ""), "missing from the item"),
+    ("sub-part dropped", replace(2, " (b) How many cars fit on it?", ""), "missing from the item"),
+    ("number mistyped", replace(2, "326", "362"), "numbers differ"),
+    ("table cell mistyped", change(2, media=[{"t": "table", "head": ["Deck", "Cars"], "rows": [["Lower", "19"]], "src_id": "t1"}]), "table cell"),
+    ("table cell's number", change(2, media=[{"t": "table", "head": ["Deck", "Cars"], "rows": [["Lower", "19"]], "src_id": "t1"}]), "numbers differ"),
     ("table left out", change(2, media=None), "table not shown"),
     ("figure left out", change(4, media=None), "figure not shown"),
-    ("option reworded", change(3, o=["Cutting the setup time of the oven", "Putting in extra stock", "Doing nothing at all"]), "option"),
+    ("option reworded", change(3, o=["Sell the tickets on the shore in advance", "Build a second pier", "Leave it as it is"]), "option"),
     ("question left out", lambda rows: rows.pop(3), "in no item"),
-    ("official number changed", replace(2, "41.7", "41.6", "official"), "official numbers differ"),
-    ("official sentence dropped", replace(2, " and the capacity is 41.7 loaves per hour", "", "official"), "missing from the official solution"),
-    ("official reworded", change(2, official="It is the oven, which limits 41.7"), "official precision"),
+    ("official number changed", replace(2, "37.5", "37.4", "official"), "official numbers differ"),
+    ("official sentence dropped", replace(2, " and 37.5 cars fit on average", "", "official"), "missing from the official solution"),
+    ("official reworded", change(2, official="People walk on before 37.5 others"), "official precision"),
     ("solution source lost", change(2, e_source="nowhere"), "no solution source"),
     ("answer not set", change(3, a=None), "answer not set"),
     ("answer out of range", change(3, a=7), "answer out of range"),
     ("explanation missing", change(3, e=None), "explanation missing"),
     ("guess left unconfirmed", change(3, checks=["lower-case letters read as options"]), "unconfirmed"),
-    ("part's answer not set", change(4, parts=[{"label": "(a)", "q": "", "o": ["demand", "chart"]}]), "answer not set"),
+    ("part's answer not set", change(4, parts=[{"label": "(a)", "q": "", "o": ["wind", "map"]}]), "answer not set"),
     ("part's key not printed", change(4, parts=[{"label": "(a)", "q": "", "official": "something else entirely"}]), "printed key"),
 ]
 
@@ -123,14 +123,14 @@ def test_faults_are_found(spark, lines):
 
 def test_risk_refs_and_examples(spark, lines):
     rows = good()
-    rows[1]["q"] = rows[1]["q"].replace("450", "459")
+    rows[1]["q"] = rows[1]["q"].replace("326", "362")
     rows[3]["parts"] = [{"label": "(a)", "q": "first"}, {"head": True, "q": "a passage"}, {"label": "(b)", "q": "second"}]
     found, scores, reasons, items = findings(spark, lines, rows)
     table = spark.createDataFrame([(r, "error", p, n, d) for p, r, n, d in found], "rule string, severity string, paper string, n int, detail string")
     assert V.riskiest(table, reasons).first()["n"] == 2
     bank = spark.createDataFrame([(1, "A", 3), (2, "A", 99)], "id int, ref_paper string, ref_n int")
     got = {r["id"]: (r["item_q"], r["head_q"]) for r in V.expand_refs(bank, items).collect()}
-    assert got == {1: ("2. Which change helps the most?", "<b>Section I</b>"), 2: (None, None)}
+    assert got == {1: ("2. What would you do about the queue?", "<b>Section I</b>"), 2: (None, None)}
     ex = spark.createDataFrame([(1, "A", 4, "(b)"), (2, "A", 4, "1"), (3, "A", 4, "zz"), (4, "A", 9, None)], "id int, paper string, n int, part string")
     got = {r["id"]: (r["place"], r["part_q"], r["passage"]) for r in V.expand_examples(ex, items).collect()}
     assert got == {1: (3, "second", "a passage"), 2: (1, "first", None), 3: (None, None, None), 4: (None, None, None)}
