@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from attesta.session import materialise, remove, scratch_dir
 
+#: Edges beyond which the least neighbours are written before edges are joined to them, so that a node of many edges is split.
+MANY_EDGES = 1_000_000
+
 
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component = smallest node reachable.
 
     Alternates the large-star and small-star contractions until the edges are
     stars. Each round joins every edge once with one row per node, so a node
-    with many neighbours only skews the edge side of a join, which AQE splits.
+    with many neighbours only skews the edge side of a join; from
+    ``MANY_EDGES`` on both sides are plain scans, so that Spark splits it.
     Rounds are written to the shared scratch folder. Null ends and self loops
     are ignored (a self loop contributes no node).
     """
@@ -26,8 +32,11 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     )
     signature = _signature(current)
     for step in range(1, max_rounds + 1):
-        current = materialise(_small_star(_large_star(current)), f"{root}/{step}")
-        remove(spark, f"{root}/{step - 1}")
+        many = signature[0] > MANY_EDGES
+        keep = (lambda df, name, step=step: materialise(df, f"{root}/{step}-{name}")) if many else (lambda df, name: df)
+        current = materialise(_small_star(keep(_large_star(current, keep), "wide"), keep), f"{root}/{step}")
+        for name in (f"{step - 1}", *((f"{step}-{x}" for x in ("wide", "large", "small")) if many else ())):
+            remove(spark, f"{root}/{name}")
         last, signature = signature, _signature(current)
         if last == signature:
             break
@@ -37,17 +46,18 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     low = (
         edges.select(F.col("b").alias("u"), F.col("b").alias("m"))
         .unionByName(edges.select(F.col("a").alias("u"), F.col("b").alias("m")))
         .groupBy("u").agg(F.min("m").alias("m"))
     )
+    low = keep(low, "large")
     return edges.join(low, edges["b"] == low["u"]).select("a", F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+def _small_star(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    low = keep(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "small")
     moved = edges.join(low, edges["a"] == low["u"]).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 

@@ -302,7 +302,9 @@ def test_solutions_and_pairs(spark, source):
     assert {(r["solution"], r["paper"]) for r in items.pair_solutions(files, forced).collect()} == {("setb_solutions_scan", "setb_scan"), ("zz", "seta")}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("many", [0, 1_000_000])
+def test_components(spark, monkeypatch, many):
+    monkeypatch.setattr(graph, "MANY_EDGES", many)
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7), (None, 3), (200, 150), (150, 201)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.connected_components(edges).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 101: 100, 150: 150, 200: 150, 201: 150}
