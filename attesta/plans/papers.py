@@ -400,3 +400,16 @@ def review_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight items to compare with their print first."""
     found, _, reasons = fidelity.check_papers(*paper_items(spark, sf_dir), exact=False)
     return fidelity.riskiest(found.where(F.col("rule").isin("numbers differ", "unconfirmed")), reasons).withColumn("paper", F.col("paper").cast("long"))
+
+
+@query(f"""WITH {_BASE}, of AS (SELECT paper, n, official FROM i WHERE official IS NOT NULL AND official <> ''), oft AS (SELECT paper, n, {tok_sql('official')} AS t FROM of),
+u AS (SELECT paper, n, 1 AS w, unnest(t) AS unit FROM oft WHERE len(t) < 3 UNION ALL SELECT paper, n, 3, unnest({gram_sql('t')}) FROM oft WHERE len(t) >= 3),
+sc AS (SELECT u.paper, n, count(k.unit) AS hits, count(*) AS total FROM u LEFT JOIN known k ON k.paper = u.paper + 1 AND k.w = u.w AND k.unit = u.unit WHERE u.paper + 1 IN (SELECT paper FROM src) GROUP BY ALL)
+SELECT 'official precision' AS rule, paper, n FROM sc WHERE hits / total < 0.9 UNION ALL SELECT 'no solution source', paper, n FROM of WHERE paper + 1 NOT IN (SELECT paper FROM src)""")
+def first_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Official solutions whose sheet isn't there, against the first sheet of their paper: the next document."""
+    items, lines = paper_items(spark, sf_dir)
+    items = items.withColumn("e_source", F.when(F.col("official").isNotNull(), F.lit("nowhere")))
+    sheets = items.select("paper").distinct().select("paper", (F.col("paper").cast("long") + 1).cast("string").alias("source"), F.lit(1).alias("place"))
+    found, _, _ = fidelity.check_papers(items, lines, solutions=sheets, exact=False)
+    return found.where(F.col("rule").isin("official precision", "no solution source")).select("rule", F.col("paper").cast("long").alias("paper"), "n")
