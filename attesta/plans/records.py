@@ -125,7 +125,8 @@ def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost of images of suppliers' widths and every tenth part's heights."""
     w = table(spark, sf_dir, "supplier").select("s_suppkey", (100.0 * (1 + F.col("s_suppkey") % 40)).alias("w"))
     h = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select("p_partkey", (75.0 * F.col("p_size")).alias("h"))
-    return w.crossJoin(F.broadcast(h)).select("s_suppkey", "p_partkey", T.image_tokens("w", "h").alias("tokens"))
+    # A small file is one split, but each of its rows makes as many as there are suppliers: it is dealt out first.
+    return h.repartition(4 * spark.sparkContext.defaultParallelism).crossJoin(F.broadcast(w)).select("s_suppkey", "p_partkey", T.image_tokens("w", "h").alias("tokens"))
 
 
 # ---- records

@@ -432,3 +432,8 @@ def test_library_stands_without_the_subpackage():
 
     code = "import sys; sys.modules['attesta.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'benchmark_containment' in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+def test_token_cost_is_dealt_out(spark):
+    """Rows of two small files are made by more than one task."""
+    assert QUERIES["token_cost"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
