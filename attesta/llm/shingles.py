@@ -1,6 +1,9 @@
 """Near copies by the Jaccard similarity of five-word shingles.
 
-Candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, so that a
+Candidates come first from SimHash: texts of one fingerprint of their shingles,
+and those whose fingerprints differ by ``TAU`` bits, linked by the generalised
+pigeonhole principle as in :mod:`attesta.llm.simhash`. Similar texts may differ
+in more bits than can be probed, so MinHash finds the rest: ``BANDS`` keys of ``ROWS`` minima each, so that a
 pair of similarity 0.8 shares a key but for 7 in a million. All members of a
 key are first compared with one of them, the one whose keys most texts share.
 Where links don't connect what shares keys, directly or through others, those
@@ -26,14 +29,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from attesta.llm import simhash
 from attesta.llm.common import as_long, bound_batches
 from attesta.llm.embeddings import _forest
 from attesta.llm.tokens import forget
 from attesta.operators.graph import connected_components
-from attesta.session import materialise, remove, scratch_dir
+from attesta.session import materialise, release_shuffles, remove, scratch_dir
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 30, 5
+#: Bits in which the fingerprints of candidates may differ.
+TAU = 2
+#: Edges up to which a graph of texts is contracted in one task.
+FEW_EDGES = 200_000
 #: Texts, and shingles, of a block of texts that are compared all with all.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 _RANDOM = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, (3, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,6 +67,30 @@ def bands(hashes: np.ndarray) -> np.ndarray:
         return (low * _RANDOM[2]).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
 
 
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of a text's shingles, as one number: a bit is set if over half the hashes have it."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        counts += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def keys_of(text: str | None) -> np.ndarray:
+    """The MinHash keys of a text, and its fingerprint last."""
+    hashes = shingles(text)
+    return np.concatenate([bands(hashes), fingerprint(hashes)])
+
+
+def close_prints(nodes: DataFrame, root: str) -> DataFrame:
+    """Pairs ``(a, b)`` of texts that connect those whose fingerprints differ by ``TAU`` bits or fewer; ``nodes`` has th and fp."""
+    prints = materialise(nodes.groupBy("fp").agg(F.min("th").alias("first")), f"{root}/prints")
+    links = simhash.links(prints.select("fp"), simhash.plan_probes(prints, TAU), TAU)
+    one, two = (prints.select(F.col("fp").alias(x), F.col("first").alias(f"t{x}")) for x in "ab")
+    apart = links.join(one, "a").join(two, "b").select("ta", "tb")
+    same = nodes.join(prints, "fp").where("th <> first").select(F.col("th").alias("ta"), F.col("first").alias("tb"))
+    return apart.unionByName(same).select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
+
+
 def _mapped(rows: DataFrame, make, name: str) -> DataFrame:
     """``rows`` (longs, ``text`` last) with an array of longs made from the text in its place."""
     names = rows.columns[:-1]
@@ -135,32 +167,36 @@ def components(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     root = scratch_dir(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = rows.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    marks = materialise(_mapped(texts, lambda x: bands(shingles(x)), "bands"), f"{root}/marks")
-    nodes = marks.groupBy("th").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
-    nodes = materialise(nodes, f"{root}/nodes")
+    marks = materialise(_mapped(texts, keys_of, "bands"), f"{root}/marks")
+    nodes = marks.groupBy("th").agg(F.min("doc_id").alias("low"), F.first("bands").alias("x"))
+    nodes = materialise(nodes.select("th", "low", F.slice("x", 1, BANDS).alias("bands"), F.element_at("x", BANDS + 1).alias("fp")), f"{root}/nodes")
+    near = materialise(close_prints(nodes.select("th", "fp"), root), f"{root}/near")
+    release_shuffles(spark)
     keys = nodes.select("th", F.posexplode("bands").alias("no", "key"))
     # Counts are written before members are joined to them, so that a key of many texts is split.
     counts = materialise(keys.groupBy("no", "key").agg(F.count("*").alias("n")).where("n > 1"), f"{root}/counts")
     members = materialise(keys.join(counts, ["no", "key"]), f"{root}/members")
     weight = members.groupBy("th").agg(F.sum("n").alias("w"))
     led = materialise(members.join(weight, "th").groupBy("no", "key").agg(F.max(F.struct("w", "th"))["th"].alias("leader")), f"{root}/leaders")
-    pairs = members.join(led, ["no", "key"]).where("th <> leader").select(F.least("th", "leader").alias("a"), F.greatest("th", "leader").alias("b")).distinct()
-    pairs = materialise(pairs, f"{root}/pairs")
-    ids = members.select("th").distinct()
+    pairs = members.join(led, ["no", "key"]).where("th <> leader").select(F.least("th", "leader").alias("a"), F.greatest("th", "leader").alias("b"))
+    pairs = materialise(near.unionByName(pairs).distinct(), f"{root}/pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
     sets = materialise(_mapped(texts.select("th", "text").join(ids, "th", "left_semi").dropDuplicates(["th"]), shingles, "s"), f"{root}/sets")
     edges = materialise(similar(pairs, sets, threshold), f"{root}/edges")
-    groups = materialise(connected_components(edges).select(F.col("node").alias("th"), "component"), f"{root}/groups")
+    release_shuffles(spark)
+    groups = materialise(connected_components(edges, few=FEW_EDGES).select(F.col("node").alias("th"), "component"), f"{root}/groups")
     # Texts that share keys, directly or through others, and that the links so far leave apart.
-    met = connected_components(pairs).select(F.col("node").alias("th"), F.col("component").alias("grp"))
+    met = connected_components(pairs, few=FEW_EDGES).select(F.col("node").alias("th"), F.col("component").alias("grp"))
     placed = materialise(met.join(groups, "th", "left").select("th", "grp", F.coalesce("component", "th").alias("component")), f"{root}/placed")
     apart = placed.groupBy("grp").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("c > 2 and x <> y").select("grp")
     apart = materialise(apart, f"{root}/apart")
     more = materialise(all_with_all(placed.join(apart, "grp"), sets, f"{root}/blocks", threshold), f"{root}/more")
-    groups = materialise(connected_components(edges.unionByName(more)).select(F.col("node").alias("th"), "component"), f"{root}/final")
+    release_shuffles(spark)
+    groups = materialise(connected_components(edges.unionByName(more), few=FEW_EDGES).select(F.col("node").alias("th"), "component"), f"{root}/final")
     known = nodes.select("th", "low").join(groups, "th", "left").select("th", "low", F.coalesce("component", "th").alias("component"))
     lows = known.groupBy("component").agg(F.min("low").alias("component_id"))
     table = materialise(known.join(lows, "component").select("th", "component_id"), f"{root}/table")
-    for name in ("nodes", "counts", "members", "leaders", "pairs", "sets", "edges", "groups", "placed", "apart", "blocks", "more", "final"):
+    for name in ("nodes", "prints", "near", "counts", "members", "leaders", "pairs", "sets", "edges", "groups", "placed", "apart", "blocks", "more", "final"):
         remove(spark, f"{root}/{name}")
     return marks.select("doc_id", "th").join(table, "th").select("doc_id", "component_id")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from attesta.session import materialise, remove, scratch_dir
@@ -12,7 +14,7 @@ from attesta.session import materialise, remove, scratch_dir
 MANY_EDGES = 1_000_000
 
 
-def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60, few: int = 0) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component = smallest node reachable.
 
     Alternates the large-star and small-star contractions until the edges are
@@ -20,7 +22,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     with many neighbours only skews the edge side of a join; from
     ``MANY_EDGES`` on both sides are plain scans, so that Spark splits it.
     Rounds are written to the shared scratch folder. Null ends and self loops
-    are ignored (a self loop contributes no node).
+    are ignored (a self loop contributes no node). Up to ``few`` edges (of
+    longs) are contracted in one task instead, which spares the driver the rounds.
     """
     spark = edges.sparkSession
     root = scratch_dir(spark)
@@ -31,6 +34,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
         f"{root}/0",
     )
     signature = _signature(current)
+    if 0 < signature[0] <= few:
+        return current.coalesce(1).mapInArrow(_contract, "node long, component long")
     for step in range(1, max_rounds + 1):
         many = signature[0] > MANY_EDGES
         keep = (lambda df, name, step=step: materialise(df, f"{root}/{step}-{name}")) if many else (lambda df, name: df)
@@ -46,6 +51,25 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of all edges ``(a, b)`` with the smallest node reachable."""
+    ends = [np.concatenate([b.column(k).to_numpy() for k in range(2)]).reshape(2, -1) for b in batches]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+    i, j = at.reshape(2, -1)
+    low = np.arange(len(nodes))
+    while True:
+        least, new = np.minimum(low[i], low[j]), low.copy()
+        for x in (low[i], low[j]):
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[low])], ["node", "component"])
+
+
 def _large_star(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     low = (
         edges.select(F.col("b").alias("u"), F.col("b").alias("m"))

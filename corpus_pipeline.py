@@ -40,7 +40,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group whose five-word shingles are similar at 0.8 or more."""
+    """Keep one document of each group whose five-word shingles are similar at 0.8 or more: SimHash links first, MinHash for the rest, all verified."""
     return keep_one(docs)
 
 

@@ -71,3 +71,30 @@ def test_keep_one_and_nothing(spark, awkward, nothing):
     assert kept.columns == awkward.columns
     ids = {r["doc_id"] for r in kept.collect()}
     assert ids >= {1, 4, 5, 7, 10} and not ids & {2, 3, 6, 12}
+
+
+def test_fingerprints_link_by_simhash(spark, tmp_path):
+    """Texts whose fingerprints differ by two bits or fewer are connected, as by comparing all with all."""
+    base, rng = prose(3, 4000).split(), random.Random(8)
+    texts = [prose(s, 80) for s in range(8)]
+    for _ in range(40):
+        w = list(base)
+        for k in rng.sample(range(len(w)), rng.choice([1, 2, 3])):
+            w[k] = f"sub{rng.randrange(99999)}"
+        texts.append(" ".join(w))
+    prints = [int(shingles.fingerprint(shingles.shingles(t))[0]) for t in texts]
+    assert [int(shingles.keys_of(t)[-1]) for t in texts] == prints
+    low = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= shingles.TAU:
+                a, b = sorted((low[i], low[j]))
+                low = [a if x == b else x for x in low]
+    nodes = spark.createDataFrame([(i, shingles.as_long(np.array([p], np.uint64))[0].item()) for i, p in enumerate(prints)], "th long, fp long")
+    from attesta.operators.graph import connected_components
+
+    edges = shingles.close_prints(nodes, f"file://{tmp_path}")
+    for few in (0, 1000):
+        got = {r["node"]: r["component"] for r in connected_components(edges, few=few).collect()}
+        assert [got.get(i, i) for i in range(len(texts))] == low
+    assert len(set(low)) < len(low) - 5
