@@ -5,19 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-
-#: Records in an Arrow batch; with Spark's own bound on bytes a batch of long texts stays small.
-BATCH_RECORDS = 512
-
-
-def bound_batches(spark: SparkSession, records: int = BATCH_RECORDS) -> None:
-    """Keep Arrow batches small enough that a batch of very long texts fits a Python worker; smaller bounds that are set already stay."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", records), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
-        now = (spark.conf.get(key) or "").removesuffix("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
+from pyspark.sql import DataFrame
 
+from attesta.session import BATCH_RECORDS, bound_batches  # noqa: F401
 
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that further columns of an input cannot clash."""

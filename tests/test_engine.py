@@ -437,3 +437,13 @@ def test_library_stands_without_the_subpackage():
 def test_token_cost_is_dealt_out(spark):
     """Rows of two small files are made by more than one task."""
     assert QUERIES["token_cost"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_triples_are_found_without_a_shuffle_of_them(spark):
+    """Neither coverage nor precision makes a row for each triple."""
+    pairs = spark.createDataFrame([(1, list("abcd"), list("bcde"))], "k int, source array<string>, item array<string>")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(coverage.uncovered_runs(pairs, ["k"]))
+    seg = spark.createDataFrame([("s", 1, "a b c d")], "scope string, n int, text string")
+    src = spark.createDataFrame([("s", list("abc"))], "scope string, tokens array<string>")
+    assert "Generate" not in plan(containment.segment_precision(seg, src, ["scope", "n"], "scope"))
