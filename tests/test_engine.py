@@ -447,3 +447,11 @@ def test_triples_are_found_without_a_shuffle_of_them(spark):
     seg = spark.createDataFrame([("s", 1, "a b c d")], "scope string, n int, text string")
     src = spark.createDataFrame([("s", list("abc"))], "scope string, tokens array<string>")
     assert "Generate" not in plan(containment.segment_precision(seg, src, ["scope", "n"], "scope"))
+
+
+def test_clusters_of_many_pages_go_to_python_at_once(spark):
+    boxes = spark.createDataFrame([(p, 10.0 * k, 0.0, 10.0 * k + 5, 5.0) for p in range(40) for k in range(0, 9, 1 + p % 3)], "page int, x0 double, y0 double, x1 double, y1 double")
+    found = layout.cluster_pages(boxes, ["page"])
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["page"]: [] for r in found.collect()}.keys() == set(range(40))
+    assert found.where("page = 0").first()["n"] == 9 and found.where("page = 2").count() == 3
