@@ -455,3 +455,13 @@ def test_clusters_of_many_pages_go_to_python_at_once(spark):
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["page"]: [] for r in found.collect()}.keys() == set(range(40))
     assert found.where("page = 0").first()["n"] == 9 and found.where("page = 2").count() == 3
+
+
+def test_figures_of_many_pages_go_to_python_at_once(spark):
+    sides = "x0 double, y0 double, x1 double, y1 double"
+    figures = spark.createDataFrame([(p, "f", 0.0, 0.0, 60.0, 10.0) for p in range(20)], f"page int, id string, {sides}")
+    words = spark.createDataFrame([(p, 70.0, 2.0, 90.0, 8.0, "w") for p in range(0, 20, 2)] + [(1, 5.0, 12.0, 9.0, 20.0, "12"), (3, 5.0, 12.0, 9.0, 20.0, "w")], f"page int, {sides}, text string")
+    found = layout.grow_figures(figures, words, ["page"])
+    assert "FlatMapCoGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["page"]: (r["x1"], r["y1"]) for r in found.collect()}
+    assert got == {p: (90.0, 10.0) if p % 2 == 0 else (60.0, 20.0 if p == 1 else 10.0) for p in range(20)}
