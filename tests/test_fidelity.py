@@ -134,3 +134,28 @@ def test_risk_refs_and_examples(spark, lines):
     ex = spark.createDataFrame([(1, "A", 4, "(b)"), (2, "A", 4, "1"), (3, "A", 4, "zz"), (4, "A", 9, None)], "id int, paper string, n int, part string")
     got = {r["id"]: (r["place"], r["part_q"], r["passage"]) for r in V.expand_examples(ex, items).collect()}
     assert got == {1: (3, "second", "a passage"), 2: (1, "first", None), 3: (None, None, None), 4: (None, None, None)}
+
+
+def test_review_counts_triples_of_near_items_alone(spark, monkeypatch):
+    """The first items are those of all rules over all items; only those that a text match could bring among them are compared."""
+    from attesta.operators import containment
+    from attesta.plans import papers
+
+    items, lines = papers.paper_items(spark, "/root/testdata/sf0.001")
+    found, _, reasons = V.check_papers(items, lines, exact=False)
+    whole = V.riskiest(found.where("rule in ('numbers differ', 'unconfirmed')"), reasons, 40).collect()
+    met, real = [], containment.segment_precision
+    monkeypatch.setattr(containment, "segment_precision", lambda seg, *a, **b: met.append(seg.select("paper", "n").distinct().count()) or real(seg, *a, **b))
+    for k in (8, 40):
+        assert [tuple(r) for r in V.review_first(items, lines, k, exact=False).collect()] == [tuple(r) for r in whole[:k]]
+    assert 8 <= met[0] < items.count() // 10
+
+
+def test_review_of_few_items(spark, lines):
+    """Fewer items than are asked for: all of them are compared."""
+    rows = good()
+    rows[1]["q"] = rows[1]["q"].replace("326", "362")
+    _, _, reasons, items = findings(spark, lines, rows)
+    wrong = spark.createDataFrame([("numbers differ", "error", "A", 2, x) for x in ("326", "362")], "rule string, severity string, paper string, n int, detail string")
+    for k in (1, 8):
+        assert V.review_first(items, lines, k).collect() == V.riskiest(wrong, reasons, k).collect()
